@@ -38,6 +38,9 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_length", T.LongType())]))
 
 
+_RUN = pa.schema([("node", pa.int32()), ("_digest", pa.binary()), ("_length", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+
+
 def _merged(smallest: bool):
     """Merge a partition's rows, sorted by digest and length, to one row for each of these; rows of a digest may be
     spread over batches."""
@@ -47,6 +50,7 @@ def _merged(smallest: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.cast(_RUN)
             if left is not None:
                 batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
             digest = np.array(column_of(batch, "_digest").to_pylist(), object)
@@ -58,10 +62,7 @@ def _merged(smallest: bool):
             best = (np.minimum if smallest else np.maximum).reduceat(ids, at)
             count = np.add.reduceat(column_of(batch, "group_size").to_numpy(), at)
             node = column_of(batch, "node").take(pa.array(at))
-            out = pa.RecordBatch.from_arrays(
-                [node, pa.array(digest[at].tolist(), pa.binary()), pa.array(length[at]), pa.array(best, pa.int64()), pa.array(count, pa.int64())],
-                ["node", "_digest", "_length", "keep_id", "group_size"],
-            )
+            out = pa.RecordBatch.from_arrays([node, pa.array(digest[at].tolist(), pa.binary()), pa.array(length[at]), pa.array(best, pa.int64()), pa.array(count, pa.int64())], schema=_RUN)
             left = out.slice(out.num_rows - 1)
             yield out.slice(0, out.num_rows - 1)
         if left is not None:
