@@ -81,15 +81,25 @@ def tuned(spark: SparkSession) -> None:
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Left join of rows with groups on key, whatever the skew. groups has a unique key and group_size, the number of
-    rows of that key; groups of one row may be absent. A group of a thousandth of all rows or more is hot: there are
+    rows of that key; keys may be absent. A group of a thousandth of all rows or more is hot: there are
     at most 1000 such, as sizes add up to n_rows, so these are broadcast and no shuffled key has more rows than that."""
     at = max(2, n_rows // 1000)
     hot = F.broadcast(groups.filter(F.col("group_size") >= at))
-    cold = groups.filter((F.col("group_size") < at) & (F.col("group_size") > 1))
+    cold = groups.filter(F.col("group_size") < at)
     rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, "left")
     return rows.join(hot, key).unionByName(rest)
 
 
+def cells(rows: DataFrame, size: str, item: str, most: int) -> DataFrame:
+    """Split groups for work on their pairs: a group of more than `most` rows (its rows are in column size) has its rows
+    dealt to blocks by a hash of item, and each pair of blocks is a cell. Adds block, cell_a and cell_b, a row for each
+    cell that needs it. A pair is looked at in one cell: two rows of block b in (b, b), of a < b in (a, b)."""
+    g = F.greatest(F.ceil(F.col(size) / most), F.lit(1)).cast("int")
+    rows = rows.withColumn("_g", g).withColumn("block", F.pmod(F.xxhash64(item), F.col("_g")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return rows.withColumn("cell_a", F.least("block", "_other")).withColumn("cell_b", F.greatest("block", "_other")).drop("_g", "_other")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each row begins (one more than rows); null counts as empty."""
     column = pc.fill_null(column, "")

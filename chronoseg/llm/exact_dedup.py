@@ -100,7 +100,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     An empty table gives no rows; further columns are ignored."""
     rows = stash(with_digest(docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text).alias("_text")), "_text").drop("_text"), "digests")
     groups = stash(groups_of(rows, id_column, keep), "groups")
-    joined = attach(rows.select(id_column, "_digest"), groups.drop("_length"), "_digest", rows.count())
+    joined = attach(rows.select(id_column, "_digest"), groups.filter("group_size > 1").drop("_length"), "_digest", rows.count())
     keep_id = F.when(F.col("group_size").isNull(), F.col(id_column)).otherwise(F.col("keep_id"))
     return joined.select(
         id_column,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, token_store
+from . import exact_dedup, mixing, substring_dedup, token_store
 from .common import tuned
 
 
@@ -61,7 +61,26 @@ FROM r
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i+34], ' ') AS win FROM t, unnest(range(1, len(w) - 33)) AS x(i) WHERE len(w) >= 35),
+rep AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + o AS p FROM g JOIN rep USING (win), unnest(range(0, 35)) AS y(o)),
+per AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+k AS (SELECT t.doc_id, t.w, coalesce(len(ps), 0) AS n_removed,
+             CASE WHEN ps IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p))) END AS kept
+      FROM t LEFT JOIN per USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 QUERIES = {
+    "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op1_token_store": (op1_token_store, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
