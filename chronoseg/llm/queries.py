@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, substring_dedup, token_store
+from . import exact_dedup, mixing, set_join, substring_dedup, token_store
 from .common import tuned
 
 
@@ -61,6 +61,10 @@ FROM r
 """
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
@@ -80,6 +84,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n
 
 
 QUERIES = {
+    "op7_set_join": (op7_set_join, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op1_token_store": (op1_token_store, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
