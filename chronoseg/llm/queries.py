@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, set_join, substring_dedup, token_store
-from .common import tuned
+from . import exact_dedup, language_id, mixing, pieces, set_join, substring_dedup, token_store, vector_join
+from .common import crc_mod3, tuned
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,19 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"), (1, 2, 3))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +75,22 @@ FROM r
 """
 
 
+def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod3() == 1, F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.summary(pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -84,6 +114,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n
 
 
 QUERIES = {
+    "op3_vector_join": (op3_vector_join, OP3_SQL),
+    "op6_language_id": (op6_language_id, None),
+    "op9_pieces": (op9_pieces, None),
     "op7_set_join": (op7_set_join, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op1_token_store": (op1_token_store, None),
