@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, pieces, set_join, substring_dedup, token_store, vector_join
+from . import exact_dedup, language_id, mixing, pieces, quality, secrets, set_join, substring_dedup, token_store, vector_join
 from .common import crc_mod3, tuned
 
 
@@ -79,6 +79,14 @@ def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents")).drop("votes")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod3() == 1, F.lit(False))
@@ -114,6 +122,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n
 
 
 QUERIES = {
+    "op4_quality": (op4_quality, None),
+    "op5_secrets": (op5_secrets, None),
     "op3_vector_join": (op3_vector_join, OP3_SQL),
     "op6_language_id": (op6_language_id, None),
     "op9_pieces": (op9_pieces, None),
