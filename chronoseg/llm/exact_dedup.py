@@ -109,3 +109,30 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         keep_id.eqNullSafe(F.col(id_column)).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+
+
+#: Rows (some 50 bytes each) up to which dropped documents are broadcast to the rows that they are dropped from.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, losers: DataFrame, keys: list[str]) -> DataFrame:
+    """rows but for those whose keys are in losers; a broadcast if its size allows, else a shuffle of both."""
+    losers = stash(losers, "losers")
+    return rows.join(F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers, keys, "left_anti")
+
+
+def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of docs that exact_duplicates() keeps, all their columns; rows that repeat an id and text are one."""
+    decided = stash(exact_duplicates(docs, id_column, text, keep), "decided")
+    rows = with_digest(docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.struct("*").alias("_row")), "_text").select("_id", "_digest", "_row")
+    digest = F.unhex("text_sha256").alias("_digest")
+    out = _anti(rows, decided.filter("NOT kept").select(F.col(id_column).alias("_id"), digest))
+    again = decided.filter("kept AND group_size > 1").groupBy(id_column, "text_sha256").count().filter("count > 1")
+    if again.take(1):
+        out = out.dropDuplicates(["_id", "_digest"])
+    return out.select("_row.*")
+
+
+def _anti(rows: DataFrame, losers: DataFrame) -> DataFrame:
+    key = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.hex("_digest")).alias("_key")
+    return without(rows.select("*", key), losers.select(key), ["_key"])

@@ -72,15 +72,16 @@ def _inverse_demand(share: Column, rank: Column, schedules: list[tuple[float, ..
 SCHEDULES = [(1.0, 1.0, 1.0), (2.0, 1.0, 0.5), (0.5, 1.0, 2.0)]
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), schedules: list[tuple[float, ...]] | None = None, whole: bool = False, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of docs: the id, size, source, source_size, target, taken, position (of its first word).
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), schedules: list[tuple[float, ...]] | None = None, whole: bool = False, id_column: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """One row for each row of docs: the id, size, source, source_size, target, taken, position (of its first word), and
+    copy_positions, that of its first word in each pass that takes any of it; with carry, carried: the whole row.
 
     taken: the words the mix takes of the document, repeats counted; the source's whole passes and then, in the order of
     md5 of the id, what is left of its target, so that a source's taken words add up to its target, rounded. whole: the
     last pass takes whole documents only, each if the half of it is within what is left. Null and empty texts have size
     0 and take nothing; a null source is a source; ties of id are ordered by size; an empty table gives no rows."""
     rows = stash(
-        docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("h")),
+        docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("h"), *[F.struct("*").alias("carried")] * carry),
         "sizes",
     )
     totals = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).select("source", "source_size"), weights)
@@ -99,7 +100,11 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sched
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = goal - passes * F.col("source_size") - before
     last = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left))
-    share = F.when(F.col("target") > 0, F.least(before / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    schedules = schedules or SCHEDULES
+    share = lambda words: F.when(F.col("target") > 0, F.least(words / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    copies = (passes + F.when(last > 0, 1).otherwise(0)).cast("int")
+    run = run.withColumns({"before": before, "copies": F.when(F.col("size") > 0, copies).otherwise(F.lit(0))})
+    each = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: _inverse_demand(share(p * F.col("source_size") + F.col("before")), F.col("source_rank"), schedules))
     return run.select(
         F.col("id").alias(id_column),
         "size",
@@ -107,10 +112,19 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sched
         "source_size",
         "target",
         (passes * F.col("size") + last).cast("long").alias("taken"),
-        _inverse_demand(share, F.col("source_rank"), schedules or SCHEDULES).alias("position"),
+        _inverse_demand(share(before), F.col("source_rank"), schedules).alias("position"),
+        F.when(F.col("copies") > 0, each).otherwise(F.array().cast("array<double>")).alias("copy_positions"),
+        *["carried"] * carry,
     )
 
 
+def training_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes, whole, once for each copy, range-sorted by position over all partitions."""
+    mixed = mix_documents(docs, whole=True, carry=True, **options)
+    rows = mixed.select(F.explode("copy_positions").alias("position"), "carried")
+    return rows.orderBy("position").select("carried.*")
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """Documents that the mix takes, range-sorted by position over all partitions."""
     return mixed.filter("taken > 0").orderBy("position", "source")
