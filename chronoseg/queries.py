@@ -1,3 +1,666 @@
-"""The registered queries of the engine's own operators: name -> (function, SQL or None)."""
+"""The registered queries of the engine's operators, each with the SQL that gives the same rows where SQL can."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalar
+from .operators import checks, graph, intervals, profiles, sequence, sequential, vectors
+from .operators.sequence import gaussian_kernel
+from .params import Params
+from .plans import pipelines
+from .sources import fixtures as fx
+from .sources import readers, writers
+
+V = "video_id"
+CUT, BAND, EDGE, DIM = 60.0, 30, 0.25, 64
+QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+_SCORED = f"""{fx.FRAMES},
+lagged AS (SELECT *, abs(score - lag(score) OVER (PARTITION BY video_id ORDER BY frame)) AS diff, count(*) OVER (PARTITION BY video_id) AS total FROM fr),
+cs AS (SELECT *, CASE WHEN diff IS NULL THEN 0.0 ELSE least(score, diff) END AS cut_score FROM lagged)"""
+_CUTS = f"""{_SCORED},
+raw AS (SELECT video_id, total, frame - 1 AS cut FROM cs WHERE frame > 0 AND cut_score > {CUT} AND frame - 1 > 1 AND frame - 1 < total),
+near AS (SELECT *, cut - lag(cut) OVER (PARTITION BY video_id ORDER BY cut) AS gap FROM raw),
+cuts AS (SELECT video_id, cut, total FROM near WHERE gap IS NULL OR gap >= 2)"""
+_SHOTS = f"""{_CUTS},
+bounds AS (SELECT video_id, cut AS b FROM cuts WHERE cut > 0 AND cut < total UNION SELECT video_id, 0 FROM videos UNION SELECT video_id, total FROM videos),
+led AS (SELECT video_id, b, lead(b) OVER (PARTITION BY video_id ORDER BY b) AS nxt FROM bounds),
+shots AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY b) - 1 AS shot_id, b AS "start", nxt - 1 AS "end" FROM led WHERE nxt IS NOT NULL)"""
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.drop_near_cuts(sequence.threshold_cuts(fx.frames(spark, d).select(V, "frame", "score"), CUT))
+
+
+def _shots(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.cuts_to_shots(_cuts(spark, d), fx.videos(spark, d))
+
+
+@query(f"WITH {_SCORED} SELECT video_id, frame, round(diff, 6) AS diff FROM cs")
+def adjacent_difference(spark, d):
+    return sequence.adjacent_difference(fx.frames(spark, d)).select(V, "frame", F.round("diff", 6).alias("diff"))
+
+
+@query(f"WITH {_SCORED} SELECT video_id, frame, round(cut_score, 6) AS cut_score FROM cs")
+def cut_score(spark, d):
+    return sequence.cut_scores(fx.frames(spark, d)).select(V, "frame", F.round("cut_score", 6).alias("cut_score"))
+
+
+@query(f"WITH {_CUTS} SELECT video_id, cut FROM cuts")
+def near_dup_cuts(spark, d):
+    return _cuts(spark, d).select(V, "cut")
+
+
+@query(f"WITH {fx.FRAMES}, t AS (SELECT video_id, CAST(round(score * 7.5) AS BIGINT) - 1 AS cut, total FROM fr JOIN videos USING (video_id)) SELECT DISTINCT video_id, cut FROM t WHERE cut > 1 AND cut < total")
+def times_to_cuts(spark, d):
+    times = fx.frames(spark, d).join(fx.videos(spark, d), V).select(V, F.col("score").alias("seconds"), "total")
+    return sequence.times_to_cuts(times, 7.5).select(V, "cut").distinct()
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, shot_id, "start", "end" FROM shots')
+def cuts_to_shots(spark, d):
+    return _shots(spark, d)
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, "start", "end", "end" - "start" + 1 AS n FROM shots')
+def segment_plan(spark, d):
+    return sequence.segment_plan(sequence.threshold_cuts(fx.frames(spark, d), CUT), fx.videos(spark, d)).select(V, "start", "end", "n")
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, "start" + 1 AS "start", "end" - 1 AS "end", "end" - "start" - 1 AS n FROM shots WHERE "end" - 1 >= "start" + 1')
+def segment_plan_inner(spark, d):
+    return sequence.segment_plan(sequence.threshold_cuts(fx.frames(spark, d), CUT), fx.videos(spark, d), "inner").select(V, "start", "end", "n")
+
+
+@query(f"""WITH {_SHOTS}, p AS (SELECT video_id, CASE WHEN "start" > 0 THEN "start" + 1 ELSE "start" END AS "start",
+  CASE WHEN lead("start") OVER (PARTITION BY video_id ORDER BY "start") IS NULL THEN "end" ELSE "end" + 1 END AS "end" FROM shots)
+SELECT *, "end" - "start" + 1 AS n FROM p""")
+def segment_plan_left(spark, d):
+    return sequence.segment_plan(sequence.threshold_cuts(fx.frames(spark, d), CUT), fx.videos(spark, d), "left").select(V, "start", "end", "n")
+
+
+@query(f"""WITH {_SCORED}, f AS (SELECT *, frame - row_number() OVER (PARTITION BY video_id ORDER BY frame) AS island FROM cs WHERE cut_score > 40.0),
+b AS (SELECT video_id, island, arg_max(frame, struct_pack(s := cut_score, f := -frame)) AS f, max(cut_score) AS score FROM f GROUP BY 1, 2)
+SELECT video_id, f - 1 AS cut, f AS raw_frame, round(score, 6) AS score FROM b WHERE f - 1 > 0""")
+def block_max_cuts(spark, d):
+    return sequence.block_max_cuts(fx.frames(spark, d), 40.0).select(V, "cut", "raw_frame", F.round("score", 6).alias("score"))
+
+
+@query()
+def block_max_cuts_suppressed(spark, d):
+    return sequential.block_max_cuts(sequence.cut_scores(fx.frames(spark, d)), 40.0, 5)
+
+
+@query(f"""WITH {fx.FRAMES}, t AS (SELECT video_id, quantile_cont(score, 0.99) AS top FROM fr GROUP BY 1)
+SELECT video_id, frame, round(CASE WHEN top > 0 THEN score / top ELSE 0.0 END, 6) AS norm FROM fr JOIN t USING (video_id)""")
+def percentile_normalize(spark, d):
+    return sequence.normalize_by_percentile(fx.frames(spark, d)).select(V, "frame", F.round("norm", 6).alias("norm"))
+
+
+@query(f"""WITH {fx.FRAMES}, t AS (SELECT video_id, max(score) AS top FROM fr WHERE frame >= 1 GROUP BY 1)
+SELECT video_id, frame, round(frame / 10.0, 4) AS timestamp_sec, round(CASE WHEN top > 0 THEN score / top ELSE 0.0 END, 6) AS normalized_score FROM fr JOIN t USING (video_id)""")
+def max_normalize(spark, d):
+    rows = sequence.normalize_by_max(fx.frames(spark, d))
+    return rows.select(V, "frame", F.round(F.col("frame") / fx.FPS, 4).alias("timestamp_sec"), F.round("normalized_score", 6).alias("normalized_score"))
+
+
+@query(f"""WITH {fx.FRAMES}, w AS (SELECT *, max(score) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS best,
+  count(*) OVER (PARTITION BY video_id) AS total FROM fr) SELECT video_id, frame, round(score, 6) AS score FROM w WHERE score = best AND score >= 50 AND frame >= 12 AND frame < total - 12""")
+def local_maxima(spark, d):
+    return sequence.local_maxima(fx.frames(spark, d), 50.0).select(V, "frame", F.round("score", 6).alias("score"))
+
+
+_KERNEL = ", ".join(f"({i - 12}, {x!r})" for i, x in enumerate(gaussian_kernel(3.0)))
+_SMOOTH = f"""{fx.FRAMES}, kernel(o, w) AS (VALUES {_KERNEL}), n AS (SELECT video_id, count(*) AS n FROM fr GROUP BY 1),
+idx AS (SELECT fr.video_id, frame, o, w, CAST(((frame + o) % (2 * n) + 2 * n) % (2 * n) AS BIGINT) AS m, n FROM fr JOIN n USING (video_id), kernel),
+sm AS (SELECT i.video_id, i.frame, sum(i.w * f.score) AS smooth FROM idx i JOIN fr f ON f.video_id = i.video_id AND f.frame = CASE WHEN m >= n THEN 2 * n - 1 - m ELSE m END GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SMOOTH} SELECT video_id, frame, round(smooth, 6) AS smooth FROM sm")
+def gaussian_smooth(spark, d):
+    return sequence.gaussian_smooth(fx.frames(spark, d)).select(V, "frame", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"""WITH {fx.FRAMES}, n AS (SELECT video_id, greatest(5, least(31, CAST(round_even(count(*) * 0.06, 0) AS INTEGER))) AS s FROM fr GROUP BY 1),
+z AS (SELECT video_id, s + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END AS s FROM n)
+SELECT a.video_id, a.frame, round(sum(b.score) / any_value(s), 6) AS smooth FROM fr a JOIN z USING (video_id) JOIN fr b ON b.video_id = a.video_id AND b.frame BETWEEN a.frame - s // 2 AND a.frame + s // 2 GROUP BY 1, 2""")
+def moving_average(spark, d):
+    return sequence.moving_average(fx.frames(spark, d)).select(V, "frame", F.round("smooth", 6).alias("smooth"))
+
+
+_RUNS = f"""{_SMOOTH}, rs AS (SELECT video_id, frame, round(smooth, 6) AS smooth FROM sm), lv AS (SELECT video_id, quantile_cont(smooth, 0.35) AS lv FROM rs GROUP BY 1),
+fl AS (SELECT rs.*, frame - row_number() OVER (PARTITION BY rs.video_id ORDER BY frame) AS island FROM rs JOIN lv USING (video_id) WHERE smooth < lv),
+runs AS (SELECT video_id, min(frame) AS "start", max(frame) AS "end" FROM fl GROUP BY video_id, island HAVING count(*) >= 5)"""
+
+
+def _runs(spark, d):
+    smooth = sequence.gaussian_smooth(fx.frames(spark, d)).withColumn("smooth", F.round("smooth", 6))
+    return sequence.stable_runs(smooth, 5)
+
+
+@query(f'WITH {_RUNS} SELECT video_id, "start", "end", false AS fallback FROM runs')
+def stable_runs(spark, d):
+    return _runs(spark, d)
+
+
+@query(f'WITH {_RUNS} SELECT video_id, "start", "end" FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start") AS n FROM runs) WHERE n <= 4')
+def first_runs(spark, d):
+    return sequence.first_runs(_runs(spark, d), 4).select(V, "start", "end")
+
+
+@query(f"""WITH {fx.FRAMES}, lv AS (SELECT video_id, quantile_cont(score, 0.6) AS lv FROM fr WHERE score > 0 GROUP BY 1),
+fl AS (SELECT fr.*, frame - row_number() OVER (PARTITION BY fr.video_id ORDER BY frame) AS island FROM fr JOIN lv USING (video_id) WHERE score < lv),
+runs AS (SELECT video_id, min(frame) AS s, max(frame) AS e FROM fl GROUP BY video_id, island HAVING count(*) >= 4)
+SELECT video_id, s AS "start", e AS "end", unnest(range(s, e + 1, greatest(1, least(6, e - s + 1) // 2))) AS frame FROM runs""")
+def stable_samples(spark, d):
+    return sequence.stable_samples(fx.frames(spark, d), 4, 6, 0.6)
+
+
+@query(f"""WITH {_SHOTS} SELECT video_id, "start", "end", CAST("start" + trunc(("end" - "start") * sh) AS BIGINT) AS frame FROM shots, (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS x(sh)""")
+def segment_samples(spark, d):
+    return sequence.segment_samples(_shots(spark, d)).select(V, "start", "end", "frame")
+
+
+@query(f"""WITH {_SHOTS} SELECT video_id, CAST("start" + trunc(("end" - "start") * sh) AS BIGINT) AS cut FROM shots, (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) AS x(sh)
+WHERE "end" - "start" + 1 > 10 AND (shot_id % 10) / 10.0 < 0.7""")
+def heartbeat_split(spark, d):
+    shots = _shots(spark, d).withColumn("similarity", (F.col("shot_id") % 10) / 10.0)
+    return sequence.heartbeat_cuts(shots, 10, 0.7)
+
+
+@query(f"""WITH {_SHOTS} SELECT video_id, shot_id, CASE WHEN ("end" - "start" + 1) / 10.0 < 2 THEN 2 WHEN ("end" - "start" + 1) / 10.0 < 30 THEN 4 ELSE 8 END AS most_key_frames,
+  CASE WHEN shot_id % 3 = 0 THEN ["start"] WHEN shot_id % 3 = 1 THEN ["end"] ELSE [("start" + "end") // 2] END AS frames,
+  range(greatest("start" + 1 - 3, "start"), least("start" + 1 + 3, "end") + 1) AS near FROM shots""")
+def key_frame_choices(spark, d):
+    shots = _shots(spark, d).withColumn("kf", F.when(F.col("shot_id") % 3 == 0, F.array("start")).otherwise(F.array().cast("array<long>"))).withColumn("rep", F.when(F.col("shot_id") % 3 == 1, F.col("end")))
+    near = shots.withColumn("at", F.col("start") + 1)
+    return near.select(V, "shot_id", sequence.key_frame_tier("start", "end", fx.FPS).alias("most_key_frames"), sequence.key_frames_or_middle("kf", "rep", "start", "end").alias("frames"), sequence.window_around("at", 3, "start", "end").alias("near"))
+
+
+@query(f"""WITH {fx.FRAMES}, {fx.SEGMENTS}, o AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM seg),
+g AS (SELECT *, sum(CASE WHEN so_far IS NULL OR start_ms - so_far > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_merged FROM g GROUP BY video_id, g""")
+def gap_merge(spark, d):
+    return intervals.gap_merge(fx.segments(spark, d), 200)
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SEGMENTS} SELECT video_id, seg_id, start_ms, end_ms FROM seg WHERE (end_ms - start_ms) / 1000.0 >= 0.3")
+def min_duration(spark, d):
+    return intervals.min_duration(fx.segments(spark, d)).select(V, "seg_id", "start_ms", "end_ms")
+
+
+#: Scenes on every other tile of 15 frames, so that some segments overlap none.
+_TIMED = """tm AS (SELECT video_id, frame // 30 AS scene_id, frame * 100.0::DOUBLE AS scene_start_ms, (frame + 15) * 100.0::DOUBLE AS scene_end_ms FROM fr WHERE frame % 30 = 0),
+sp AS (SELECT * FROM seg WHERE length(trim(text)) > 0),
+pr AS (SELECT sp.video_id, seg_id, scene_id, start_ms, text, least(end_ms, scene_end_ms) - greatest(start_ms, scene_start_ms) AS ov, scene_start_ms FROM sp JOIN tm ON sp.video_id = tm.video_id AND start_ms < scene_end_ms AND scene_start_ms < end_ms),
+asg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_id ORDER BY ov DESC, scene_start_ms, scene_id) AS n FROM pr) WHERE n = 1)"""
+
+
+def _timed(spark, d):
+    f = fx.frames(spark, d).filter("frame % 30 = 0")
+    return f.select(V, F.floor(F.col("frame") / 30).alias("scene_id"), (F.col("frame") * 100.0).alias("scene_start_ms"), ((F.col("frame") + 15) * 100.0).alias("scene_end_ms"))
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED} SELECT video_id, seg_id, scene_id, round(ov, 4) AS overlap_ms FROM asg")
+def max_overlap_assign(spark, d):
+    return intervals.assign_by_overlap(fx.segments(spark, d), _timed(spark, d)).select(V, "seg_id", "scene_id", F.round("overlap_ms", 4).alias("overlap_ms"))
+
+
+@query(f"""WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED}, h AS (SELECT video_id, min(scene_start_ms) AS a, max(scene_end_ms) AS b FROM tm GROUP BY 1)
+SELECT video_id, seg_id, start_ms, end_ms, text, CASE WHEN start_ms >= a AND end_ms <= b THEN 'interior' ELSE 'boundary' END AS reason FROM sp JOIN h USING (video_id)
+WHERE NOT EXISTS (SELECT 1 FROM asg WHERE asg.video_id = sp.video_id AND asg.seg_id = sp.seg_id)""")
+def orphans(spark, d):
+    return intervals.orphans(fx.segments(spark, d), _timed(spark, d))
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED} SELECT DISTINCT seg.video_id, seg_id FROM seg JOIN tm ON seg.video_id = tm.video_id AND start_ms < scene_end_ms AND scene_start_ms < end_ms")
+def contained_segments(spark, d):
+    return intervals.contained(fx.segments(spark, d), _timed(spark, d)).select(V, "seg_id")
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED} SELECT video_id, scene_id, string_agg(text, '。' ORDER BY start_ms, seg_id) AS asr_text, count(*) AS n_segments FROM asg GROUP BY 1, 2")
+def scene_text(spark, d):
+    return intervals.scene_text(intervals.assign_by_overlap(fx.segments(spark, d), _timed(spark, d)))
+
+
+@query("SELECT 0 AS bad WHERE false")
+def assignment_violations(spark, d):
+    segments, timed = fx.segments(spark, d), _timed(spark, d)
+    return checks.assignment_totals(segments, intervals.assign_by_overlap(segments, timed), intervals.orphans(segments, timed)).select(F.lit(0).alias("bad"))
+
+
+_SPOKEN = """st AS (SELECT shots.*, CASE WHEN shot_id % 4 = 0 THEN ' ' ELSE 's' || shot_id END AS text FROM shots)"""
+
+
+@query(f"""WITH {_SHOTS}, {_SPOKEN}, p AS (SELECT a.video_id, a.shot_id, string_agg(trim(b.text), '。' ORDER BY b.shot_id) AS context FROM st a JOIN st b ON a.video_id = b.video_id
+ AND length(trim(b.text)) > 0 AND b."start" / 10.0 < (a."end" + 1) / 10.0 + 1.5 AND (b."end" + 1) / 10.0 > a."start" / 10.0 - 1.5 GROUP BY 1, 2)
+SELECT st.video_id, st.shot_id, coalesce(context, '') AS context, length(coalesce(context, '')) > 1 AS text_valid FROM st LEFT JOIN p USING (video_id, shot_id)""")
+def context_window_text(spark, d):
+    shots = _shots(spark, d).withColumn("text", F.when(F.col("shot_id") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("s"), F.col("shot_id").cast("string"))))
+    return intervals.context_text(shots, 1.5, fx.FPS).select(V, "shot_id", "context", "text_valid")
+
+
+@query(f"""WITH {fx.FRAMES}, ev AS (SELECT video_id, event_id, frame AS center FROM fr WHERE frame % 50 = 0),
+n AS (SELECT ev.*, fr.frame, row_number() OVER (PARTITION BY ev.video_id, ev.event_id ORDER BY fr.frame) AS n FROM ev JOIN fr ON fr.video_id = ev.video_id AND abs(fr.frame - center) <= 20)
+SELECT video_id, event_id, center, frame, n FROM n WHERE n <= 30""")
+def window_lookup(spark, d):
+    f = fx.frames(spark, d)
+    return intervals.frames_near(f.filter("frame % 50 = 0").select(V, "event_id", F.col("frame").alias("center")), f, 20, 30).select(V, "event_id", "center", "frame", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {_SHOTS} SELECT s.video_id, f.frame AS cut, s."start", s."end" FROM shots s JOIN fr f ON f.video_id = s.video_id AND f.frame > s."start" AND f.frame < s."end" AND f.frame % 5 = 0 WHERE s."end" - s."start" + 1 > 12""")
+def reinsert_cuts(spark, d):
+    return intervals.reinsert_cuts(_shots(spark, d), fx.frames(spark, d).filter("frame % 5 = 0").select(V, F.col("frame").alias("cut")), 12)
+
+
+@query(f"""WITH {fx.FRAMES}, {fx.SCENES}, b AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY scene_id) - 1) // 4 AS batch, nullif(asr_text, '') AS v FROM sc)
+SELECT a.video_id, a.scene_id, (SELECT arg_max(x.v, x.scene_id) FROM b x WHERE x.video_id = a.video_id AND x.batch < a.batch AND x.v IS NOT NULL) AS previous FROM b a""")
+def previous_batch_value(spark, d):
+    rows = fx.scenes(spark, d).withColumn("said", F.when(F.col("asr_text") != "", F.col("asr_text")))
+    return intervals.previous_batch_value(rows, "scene_id", "said").select(V, "scene_id", "previous")
+
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
+_EDGES = f"""{fx.VECTORS}, ed AS (SELECT a.video_id, a.shot_id AS src, b.shot_id AS dst, round({_DOT.format(a="a.u", b="b.u")}, 6) AS sim
+ FROM un a JOIN un b ON a.video_id = b.video_id AND b.shot_id BETWEEN a.shot_id + 1 AND a.shot_id + {BAND}), edges AS (SELECT * FROM ed WHERE sim >= {EDGE})"""
+
+
+def _edges(spark, d):
+    return vectors.banded_edges(fx.vectors(spark, d), EDGE, BAND, 6)
+
+
+@query(f"WITH {_EDGES} SELECT video_id, src, dst, sim FROM edges")
+def banded_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query(f"""WITH {fx.VECTORS}, l AS (SELECT *, lead(u) OVER (PARTITION BY video_id ORDER BY shot_id) AS nu FROM un)
+SELECT video_id, shot_id, CASE WHEN nu IS NOT NULL THEN round(greatest({_DOT.format(a="u", b="nu")}, 0.0), 4) END AS next_similarity FROM l""")
+def adjacent_cosine(spark, d):
+    return vectors.adjacent_similarity(fx.vectors(spark, d)).select(V, "shot_id", "next_similarity")
+
+
+@query(f"""WITH {fx.VECTORS}, l AS (SELECT *, lag(e) OVER (PARTITION BY video_id ORDER BY shot_id) AS pe FROM vec)
+SELECT video_id, shot_id AS frame, round(CASE WHEN pe IS NULL THEN 0.0 ELSE list_sum(list_transform(range(1, 65), lambda i: abs(e[i] - pe[i]))) / 64 END, 6) AS mafd FROM l""")
+def frame_difference(spark, d):
+    return vectors.frame_difference(fx.vectors(spark, d)).select(V, "frame", F.round("mafd", 6).alias("mafd"))
+
+
+_CENTER = f"""{fx.VECTORS}, dims AS (SELECT video_id, label, i, avg(u[i]) AS m, sum(u[i]) AS s, count(*) AS n FROM un, range(1, 65) AS r(i) GROUP BY 1, 2, 3),
+ce AS (SELECT video_id, label, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s, any_value(n) AS n FROM dims GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_CENTER} SELECT video_id, label, i AS dim, round(m, 6) AS mean, n FROM dims")
+def group_mean_vector(spark, d):
+    rows = vectors.group_mean(fx.vectors(spark, d), [V, "label"], DIM)
+    return rows.select(V, "label", F.posexplode("embedding").alias("dim", "mean"), "n").select(V, "label", (F.col("dim") + 1).alias("dim"), F.round("mean", 6).alias("mean"), "n")
+
+
+@query(f"""WITH {_CENTER}, s AS (SELECT un.video_id, un.label, shot_id, round({_DOT.format(a="u", b="m")} / sqrt({_DOT.format(a="m", b="m")}), 9) AS sim FROM un JOIN ce USING (video_id, label))
+SELECT video_id, label, arg_min(shot_id, struct_pack(a := -sim, b := shot_id)) AS shot_id, round(max(sim), 6) AS sim FROM s GROUP BY 1, 2""")
+def centroid_nearest(spark, d):
+    return vectors.nearest_to_centroid(fx.vectors(spark, d), [V, "label"], DIM, "shot_id").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {_CENTER}, s AS (SELECT un.video_id, un.label, shot_id, n, round(n - {_DOT.format(a="u", b="s")}, 9) AS cost FROM un JOIN ce USING (video_id, label))
+SELECT video_id, label, arg_min(shot_id, struct_pack(a := cost, b := shot_id)) AS shot_id, round(1 - min(cost) / any_value(n), 6) AS score FROM s GROUP BY 1, 2""")
+def medoid(spark, d):
+    return vectors.medoid(fx.vectors(spark, d), [V, "label"], DIM, "shot_id").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CENTER} SELECT a.video_id, a.label AS a, b.label AS b, round({_DOT.format(a="a.m", b="b.m")}, 6) AS sim FROM ce a JOIN ce b ON a.video_id = b.video_id AND b.label = a.label + 1""")
+def cross_set_similarity(spark, d):
+    v = fx.vectors(spark, d)
+    members = v.select(V, "shot_id", F.col("label").alias("group_id"))
+    groups = members.select(V, F.col("group_id").alias("a")).distinct()
+    pairs = groups.join(groups.select(V, F.col("a").alias("b")), V).filter("b = a + 1")
+    return vectors.set_similarity(v, members, pairs, DIM).withColumn("sim", F.round("sim", 6))
+
+
+_COMPONENTS = f"""{_EDGES}, both_ways AS (SELECT video_id, src AS a, dst AS b FROM edges UNION SELECT video_id, dst, src FROM edges),
+reach(video_id, a, b) AS (SELECT video_id, shot_id, shot_id FROM un UNION SELECT r.video_id, r.a, w.b FROM reach r JOIN both_ways w ON w.video_id = r.video_id AND w.a = r.b),
+comp AS (SELECT video_id, a AS shot_id, min(b) AS component FROM reach GROUP BY 1, 2)"""
+_RUNS_OF = f"""{_COMPONENTS}, rn AS (SELECT *, shot_id - row_number() OVER (PARTITION BY video_id, component ORDER BY shot_id) AS g FROM comp),
+runs AS (SELECT video_id, shot_id, component, min(shot_id) OVER (PARTITION BY video_id, component, g) AS run FROM rn)"""
+
+
+def _components(spark, d):
+    return graph.components(fx.vectors(spark, d), _edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT video_id, shot_id, component FROM comp")
+def components(spark, d):
+    return _components(spark, d)
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT video_id, shot_id, component FROM comp")
+def components_at_scale(spark, d):
+    return graph.components_at_scale(fx.vectors(spark, d), _edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {_RUNS_OF} SELECT video_id, shot_id, component, run FROM runs")
+def contiguous_runs(spark, d):
+    return graph.contiguous_runs(_components(spark, d))
+
+
+#: Runs of five shots, so that there are pairs to judge, and thresholds that some runs meet.
+_COHESION = f"""{fx.VECTORS}, r5 AS (SELECT *, shot_id // 5 * 5 AS run FROM un),
+pr AS (SELECT a.video_id, a.run, a.shot_id AS i, b.shot_id AS j, round({_DOT.format(a="a.u", b="b.u")}, 9) AS sim FROM r5 a JOIN r5 b ON a.video_id = b.video_id AND a.run = b.run AND a.shot_id < b.shot_id),
+st AS (SELECT video_id, run, round(avg(sim), 9) AS mean, round(quantile_cont(sim, 0.1), 9) AS p10, arg_min(j, struct_pack(s := sim, i := i, j := j)) FILTER (WHERE sim < 1) AS j FROM pr GROUP BY 1, 2),
+hd AS (SELECT *, mean > 0.0 AND p10 > -0.15 AS holds FROM st)"""
+
+
+def _five(spark, d):
+    return fx.vectors(spark, d).select(V, "shot_id", (F.floor(F.col("shot_id") / 5) * 5).alias("run"))
+
+
+@query(f"WITH {_COHESION} SELECT video_id, run, round(mean, 6) AS mean, round(p10, 6) AS p10, holds, CASE WHEN NOT holds THEN j END AS split_at FROM hd")
+def cohesion_split(spark, d):
+    rows = graph.cohesion(_five(spark, d), fx.vectors(spark, d), 0.0, -0.15)
+    return rows.select(V, "run", F.round("mean", 6).alias("mean"), F.round("p10", 6).alias("p10"), "holds", "split_at")
+
+
+@query(f"""WITH {_COHESION}, pt AS (SELECT r5.video_id, shot_id, CASE WHEN NOT holds AND shot_id >= j THEN j ELSE r5.run END AS part FROM r5 JOIN hd USING (video_id, run)),
+g AS (SELECT video_id, part, list(shot_id ORDER BY shot_id) AS shot_ids, min(shot_id) * 10 AS "start", max(shot_id) * 10 + 9 AS "end", min(shot_id) * 10 + 5 AS representative_frame FROM pt GROUP BY 1, 2)
+SELECT video_id, shot_ids, "start", "end", representative_frame, row_number() OVER (PARTITION BY video_id ORDER BY part) - 1 AS scene_id FROM g""")
+def scene_assembly(spark, d):
+    v = fx.vectors(spark, d)
+    shots = v.select(V, "shot_id", (F.col("shot_id") * 10).alias("start"), (F.col("shot_id") * 10 + 9).alias("end"), (F.col("shot_id") * 10 + 5).alias("representative_frame"))
+    return graph.scenes(_five(spark, d), v, shots, 0.0, -0.15)
+
+
+_WORDS = """w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]{2,}'), lambda x: x NOT IN ('the', 'of')) AS ws FROM conversations),
+u AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+c AS (SELECT conv_id, turn, word, count(*) AS n, min(pos) AS p FROM u GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, p) AS r FROM c)"""
+
+
+@query(f"WITH {_WORDS} SELECT conv_id, turn, coalesce(list(word ORDER BY r) FILTER (WHERE r <= 5), []) AS words FROM w LEFT JOIN k USING (conv_id, turn) GROUP BY 1, 2")
+def keyword_topk(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", scalar.keywords("text", 5, ["the", "of"]).alias("words"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(text, ' ') AS t FROM conversations), c AS (SELECT *, regexp_extract(t, '(?s)^(.+[。.])', 1) AS c FROM t)
+SELECT conv_id, turn, trim(CASE WHEN c <> '' THEN c ELSE t END, ' ') AS cut FROM c""")
+def sentence_trim(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", scalar.trim_to_sentence("text").alias("cut"))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events")
+def json_from_text(spark, d):
+    said = F.concat(F.lit("Sure: "), F.col("props"), F.lit(" is all."))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalar.json_object(said, "k long")["k"].alias("k"))
+
+
+_SETS = """s AS (SELECT video_id, scene_id, list_distinct(list_filter([topic, environment], lambda x: x <> '')) AS a, list_distinct(list_filter([event, environment, topic], lambda x: x <> '' AND x <> 'click')) AS b,
+  CASE WHEN scene_id % 9 = 0 THEN [] ELSE a END AS x, CASE WHEN scene_id % 6 = 0 THEN [] ELSE b END AS y FROM sc)"""
+
+
+@query(f"""WITH {fx.FRAMES}, {fx.SCENES}, {_SETS}, n AS (SELECT *, len(list_intersect(x, y)) AS i, len(list_distinct(list_concat(x, y))) AS u FROM s)
+SELECT video_id, scene_id, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0.5 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(i / u, 6) END AS jaccard,
+  CASE WHEN least(len(x), len(y)) > 0 THEN round(i / least(len(x), len(y)), 6) ELSE 0.0 END AS overlap FROM n""")
+def jaccard_policy(spark, d):
+    full = lambda *c: F.array_distinct(F.filter(F.array(*c), lambda x: x != ""))
+    empty = F.array().cast("array<string>")
+    x = F.when(F.col("scene_id") % 9 == 0, empty).otherwise(full("topic", "environment"))
+    y = F.when(F.col("scene_id") % 6 == 0, empty).otherwise(F.filter(full("event", "environment", "topic"), lambda v: v != "click"))
+    rows = fx.scenes(spark, d).withColumns({"x": x, "y": y})
+    return rows.select(V, "scene_id", F.round(scalar.jaccard("x", "y"), 6).alias("jaccard"), F.round(scalar.overlap_coefficient("x", "y"), 6).alias("overlap"))
+
+
+@query("""SELECT event_id, CAST(round(value * 2.5) AS BIGINT) AS frame, CAST(round_even(value * 2.5, 0) AS BIGINT) AS frame_even, 'sc_' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS scene,
+  CASE WHEN event_id % 4 = 0 THEN 24.0 ELSE round((event_id + 1) * 1000.0 / 1001.0, 6) END AS fps, round(event_id * (10.0 + event_id % 3) * 1000.0 / (100 + event_id), 6) AS start_ms FROM events""")
+def conversions(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("rate", F.when(F.col("event_id") % 4 == 0, F.lit("x/0")).otherwise(F.concat(((F.col("event_id") + 1) * 1000).cast("string"), F.lit("/1001"))))
+    rows = rows.withColumns({"dur": 10.0 + F.col("event_id") % 3, "tot": F.col("event_id") + 100})
+    return rows.select("event_id", scalar.seconds_to_frame("value", 2.5).alias("frame"), scalar.seconds_to_frame_even("value", 2.5).alias("frame_even"), scalar.scene_id("event_id").alias("scene"), F.round(scalar.rational("rate"), 6).alias("fps"), F.round(scalar.frame_start_ms("event_id", 24.0, "dur", "tot"), 6).alias("start_ms"))
+
+
+_TOP = """n AS (SELECT video_id, scene_id // 6 AS group_id, {v} AS v, count(*) AS n, min(scene_id) AS f FROM sc WHERE {v} <> '' GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, group_id ORDER BY n DESC, f) AS r FROM n)"""
+
+
+def _grouped(spark, d):
+    return fx.scenes(spark, d).withColumn("group_id", F.floor(F.col("scene_id") / 6))
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SCENES}, {_TOP.format(v='environment')} SELECT video_id, group_id, list(v ORDER BY r) AS environment FROM r WHERE r <= 3 GROUP BY 1, 2")
+def topk_profile(spark, d):
+    return profiles.top_values(_grouped(spark, d), [V, "group_id"], "environment", "scene_id")
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SCENES}, {_TOP.format(v='topic')}, g AS (SELECT DISTINCT video_id, scene_id // 6 AS group_id FROM sc) SELECT video_id, group_id, coalesce(substr(v, 1, 4), '') AS title FROM g LEFT JOIN (SELECT * FROM r WHERE r = 1) USING (video_id, group_id)")
+def dominant_topic(spark, d):
+    return profiles.dominant_value(_grouped(spark, d), [V, "group_id"], "topic", "scene_id", 4)
+
+
+_LETTERS = "list_transform(range(97, 123), lambda c: CAST(len(lower({t})) - len(replace(lower({t}), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+_COS = "CASE WHEN list_sum(list_transform({a}, lambda q: q * q)) * list_sum(list_transform({b}, lambda q: q * q)) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, 27), lambda i: {a}[i] * {b}[i])) / (sqrt(list_sum(list_transform({a}, lambda q: q * q))) * sqrt(list_sum(list_transform({b}, lambda q: q * q)))) END"
+_EVENTS = f"""{fx.FRAMES}, {fx.SCENES}, lt AS (SELECT *, {_LETTERS.format(t="topic")} AS tv, {_LETTERS.format(t="asr_text")} AS av FROM sc),
+lg AS (SELECT *, lag(topic) OVER w AS pt, lag(tv) OVER w AS ptv, lag(asr_text) OVER w AS pa, lag(av) OVER w AS pav, lag(characters) OVER w AS pc, lag(environment) OVER w AS pe FROM lt WINDOW w AS (PARTITION BY video_id ORDER BY "start", scene_id)),
+es AS (SELECT *, CASE WHEN pt IS NOT NULL THEN round(0.35 * (CASE WHEN pt <> '' AND topic <> '' THEN {_COS.format(a="ptv", b="tv")} ELSE 0.1 END) + 0.2 * (CASE WHEN pc = characters THEN 1.0 ELSE 0.0 END)
+  + 0.1 * (CASE WHEN pe = environment THEN 1.0 ELSE 0.0 END) + 0.1 * (CASE WHEN pa <> '' AND asr_text <> '' THEN {_COS.format(a="pav", b="av")} ELSE 0.0 END), 6) END AS score FROM lg),
+eg AS (SELECT *, sum(CASE WHEN score < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS event_id FROM es)"""
+
+
+@query(f'WITH {_EVENTS} SELECT video_id, scene_id, score, CAST(event_id AS BIGINT) AS event_id FROM eg')
+def event_groups(spark, d):
+    return profiles.event_groups(fx.scenes(spark, d), 0.3).select(V, "scene_id", "score", "event_id")
+
+
+def _jac(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 0.5 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)"
+
+
+def _top3(v: str, name: str) -> str:
+    return f"""{name}_n AS (SELECT video_id, event_id, {v} AS v, count(*) AS n, min(scene_id) AS f FROM eg WHERE {v} <> '' GROUP BY 1, 2, 3),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY video_id, event_id ORDER BY n DESC, f) AS r FROM {name}_n),
+{name}_t AS (SELECT video_id, event_id, list(v ORDER BY r) AS {name} FROM {name}_r WHERE r <= 3 GROUP BY 1, 2)"""
+
+
+_FIELDS = ("topics", "environments", "characters", "story_roles", "events")
+_CHAPTERS = f"""{_EVENTS}, {_top3("environment", "environments")}, {_top3("characters", "characters")}, {_top3("story_role", "story_roles")}, {_top3("event", "events")},
+eb AS (SELECT video_id, event_id, list_distinct(coalesce(list(topic) FILTER (WHERE topic <> ''), [])) AS topics, string_agg(visual_summary, ' ' ORDER BY scene_id) AS summary, list(scene_id ORDER BY scene_id) AS scene_ids, min("start") AS "start", max("end") AS "end" FROM eg GROUP BY 1, 2),
+ep AS (SELECT eb.*, coalesce(environments, []) AS environments, coalesce(characters, []) AS characters, coalesce(story_roles, []) AS story_roles, coalesce(events, []) AS events, {_LETTERS.format(t="summary")} AS sv
+  FROM eb LEFT JOIN environments_t USING (video_id, event_id) LEFT JOIN characters_t USING (video_id, event_id) LEFT JOIN story_roles_t USING (video_id, event_id) LEFT JOIN events_t USING (video_id, event_id)),
+el AS (SELECT *, {", ".join(f"lag({f}) OVER w AS p_{f}" for f in _FIELDS)}, lag(sv) OVER w AS p_sv FROM ep WINDOW w AS (PARTITION BY video_id ORDER BY event_id)),
+ec AS (SELECT *, CASE WHEN p_sv IS NOT NULL THEN round(0.25 * {_jac("p_topics", "topics")} + 0.15 * {_jac("p_environments", "environments")} + 0.15 * {_jac("p_characters", "characters")}
+  + 0.15 * ({_jac("p_story_roles", "story_roles")} + {_jac("p_events", "events")}) / 2 + 0.1 + 0.2 * {_COS.format(a="p_sv", b="sv")}, 6) END AS score FROM el),
+cg AS (SELECT *, sum(CASE WHEN score < 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS chapter_id FROM ec)"""
+
+
+@query(f"WITH {_CHAPTERS} SELECT video_id, CAST(event_id AS BIGINT) AS event_id, score, CAST(chapter_id AS BIGINT) AS chapter_id FROM cg")
+def chapter_groups(spark, d):
+    scenes = fx.scenes(spark, d)
+    members = scenes.join(profiles.event_groups(scenes, 0.3).select(V, "scene_id", "event_id"), [V, "scene_id"])
+    placed = profiles.chapter_groups(profiles.group_profiles(members, [V, "event_id"]), 0.6)
+    return placed.select(V, "event_id", "score", "chapter_id")
+
+
+@query(f"""WITH {_CHAPTERS}, ti AS (SELECT cg.video_id, cg.chapter_id, topic, count(*) AS n, min(scene_id) AS f FROM eg JOIN cg USING (video_id, event_id) WHERE topic <> '' GROUP BY 1, 2, 3),
+tt AS (SELECT video_id, chapter_id, arg_min(topic, struct_pack(n := -n, f := f)) AS title FROM ti GROUP BY 1, 2)
+SELECT cg.video_id, CAST(cg.chapter_id AS BIGINT) AS chapter_id, min(cg."start") AS "start", max(cg."end") AS "end", list(CAST(event_id AS BIGINT) ORDER BY event_id) AS event_ids, list_sort(flatten(list(scene_ids))) AS scene_ids, coalesce(any_value(tt.title), '') AS title
+FROM cg LEFT JOIN tt USING (video_id, chapter_id) GROUP BY 1, 2""")
+def chapters(spark, d):
+    return pipelines.events_and_chapters(fx.scenes(spark, d), Params(event_score=0.3, chapter_score=0.6))[1].select(V, "chapter_id", "start", "end", "event_ids", "scene_ids", "title")
+
+
+@query(f"""WITH {fx.FRAMES}, r AS (SELECT video_id, frame // 20 AS "run", min(frame) AS "start", max(frame) AS "end", list(frame ORDER BY frame) AS members, count(*) AS n FROM fr GROUP BY 1, 2) SELECT * FROM r""")
+def group_ranges(spark, d):
+    rows = fx.frames(spark, d).withColumns({"run": F.floor(F.col("frame") / 20), "start": F.col("frame"), "end": F.col("frame")})
+    return profiles.group_ranges(rows, [V, "run"], "frame")
+
+
+@query(f"""WITH {fx.FRAMES}, m AS (SELECT video_id, frame // 4 AS frame, sqrt((score / 50) * (score / 50) + (k / 50.0) * (k / 50.0)) AS m FROM fr)
+SELECT video_id, frame, count(*) AS n_vectors, count(*) FILTER (WHERE m < 1) AS n_zero, round(avg(m), 6) AS mean, round(max(m), 6) AS most FROM m GROUP BY 1, 2""")
+def motion_stats(spark, d):
+    rows = fx.frames(spark, d).select(V, F.floor(F.col("frame") / 4).alias("frame"), F.col("score").alias("x"), F.col("k").alias("y"))
+    return readers.motion_stats(rows, 50.0).select(V, "frame", "n_vectors", "n_zero", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
+
+
+@query(f"""WITH {fx.FRAMES}, l AS (SELECT video_id, frame // 40 AS g, list(frame ORDER BY frame) AS a FROM fr GROUP BY 1, 2)
+SELECT video_id, g, CASE WHEN len(a) <= 12 THEN a ELSE list_transform(range(0, 12), lambda i: a[CAST(floor(i * len(a) / 12) AS BIGINT) + 1]) END AS picked FROM l""")
+def even_subsample(spark, d):
+    rows = fx.frames(spark, d).groupBy(V, F.floor(F.col("frame") / 40).alias("g")).agg(F.sort_array(F.collect_list("frame")).alias("a"))
+    return rows.select(V, "g", sequence.even_subsample(F.col("a"), 12).alias("picked"))
+
+
+@query(f"WITH {fx.FRAMES} SELECT video_id, frame, round(score, 6) AS score FROM fr WHERE frame % 37 = 3")
+def selected_frames(spark, d):
+    f = fx.frames(spark, d)
+    return readers.selected_frames(f, f.filter("frame % 37 = 3").select(V, "frame")).select(V, "frame", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {fx.FRAMES} SELECT video_id, frame, list(event_id ORDER BY event_id) AS events, count(*) AS n FROM (SELECT video_id, event_id, unnest([frame // 10 * 10, frame // 10 * 10 + 5]) AS frame FROM fr) GROUP BY 1, 2")
+def frame_roles(spark, d):
+    base = F.floor(F.col("frame") / 10) * 10
+    return writers.frame_roles(fx.frames(spark, d).select(V, "event_id", F.array(base, base + 5).alias("representative_frames")))
+
+
+@query(f"WITH {_CUTS}, l AS (SELECT video_id, list(cut ORDER BY cut) AS cuts FROM cuts GROUP BY 1) SELECT video_id, total, coalesce(cuts, []) AS cuts FROM videos LEFT JOIN l USING (video_id)")
+def raw_cuts_documents(spark, d):
+    return writers.raw_cuts(fx.videos(spark, d), _cuts(spark, d).select(V, "cut")).select(V, "total", "cuts")
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, total, list(CAST(shot_id AS VARCHAR) || \':\' || "start" || \'-\' || "end" ORDER BY shot_id) AS shots FROM shots JOIN videos USING (video_id) GROUP BY 1, 2')
+def skeleton_documents(spark, d):
+    docs = writers.skeleton(fx.videos(spark, d), shots=_shots(spark, d))
+    return docs.select(V, "total", F.transform("shots", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["range"]["start"].cast("string"), F.lit("-"), s["range"]["end"].cast("string"))).alias("shots"))
+
+
+@query("SELECT 0 AS bad WHERE false")
+def shot_tiling_violations(spark, d):
+    return checks.not_tiling(_shots(spark, d), fx.videos(spark, d)).select(F.lit(0).alias("bad"))
+
+
+@query(f"""WITH {_SHOTS} SELECT video_id, count(*) FILTER (WHERE shot_id % 50 = 7) AS n FROM shots GROUP BY 1 HAVING count(*) FILTER (WHERE shot_id % 50 = 7) > 0""")
+def broken_tiling_found(spark, d):
+    shots = _shots(spark, d).withColumn("end", F.when(F.col("shot_id") % 50 == 7, F.col("end") + 1).otherwise(F.col("end")))
+    last = Window.partitionBy(V)
+    shots = shots.withColumn("m", F.max("shot_id").over(last)).withColumn("end", F.when(F.col("shot_id") == F.col("m"), F.col("end")).otherwise(F.col("end")))
+    return checks.overlapping(shots.unionByName(shots.filter("shot_id = m AND shot_id % 50 = 7").withColumns({"shot_id": F.col("shot_id") + 1, "start": F.col("end")}))).groupBy(V).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f'WITH {_SHOTS} SELECT count(*) AS n, min("end" - "start" + 1) AS least, max("end" - "start" + 1) AS most, round(avg("end" - "start" + 1), 4) AS mean FROM shots')
+def stage_summary(spark, d):
+    return checks.summary(_shots(spark, d))
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, shot_id, "end" - "start" + 1 AS expected, CASE WHEN shot_id % 9 = 0 THEN NULL ELSE "end" - "start" END AS got FROM shots WHERE shot_id % 9 = 0 OR shot_id % 7 = 0')
+def verify_counts(spark, d):
+    plan = _shots(spark, d).withColumn("n", F.col("end") - F.col("start") + 1)
+    got = plan.filter("shot_id % 9 <> 0").withColumn("n", F.when(F.col("shot_id") % 7 == 0, F.col("n") - 1).otherwise(F.col("n")))
+    return checks.verify_counts(plan, got, [V, "shot_id"])
+
+
+# Each step of these depends on the one before, so SQL can't express them; the tests compare them with plain loops.
+
+
+@query()
+def min_segment_filter(spark, d):
+    return sequential.min_segment(sequence.threshold_cuts(fx.frames(spark, d), CUT), 12)
+
+
+@query()
+def greedy_nms(spark, d):
+    norm = sequence.normalize_by_percentile(fx.frames(spark, d))
+    peaks = sequence.local_maxima(norm, 0.3, 12, "norm").join(fx.videos(spark, d), V)
+    return sequential.greedy_nms(peaks, 30)
+
+
+@query()
+def peak_candidates(spark, d):
+    return sequential.peak_candidates(fx.frames(spark, d), 30)
+
+
+@query()
+def peak_zones(spark, d):
+    return sequential.peak_zones(sequence.moving_average(fx.frames(spark, d)))
+
+
+@query()
+def ema_boundaries(spark, d):
+    return sequential.ema_boundaries(fx.vectors(spark, d), 0.1)
+
+
+def _shot_vectors(spark, d):
+    v = fx.vectors(spark, d)
+    return v.select(V, "shot_id", (F.col("shot_id") * 40).alias("start"), (F.col("shot_id") * 40 + F.when(F.col("shot_id") % 3 == 0, 39).otherwise(39)).alias("end"), "embedding", "frame", "label")
+
+
+@query()
+def leader_dedup(spark, d):
+    return sequential.leader_dedup(fx.vectors(spark, d).withColumn("shot_id", F.floor(F.col("frame") / 8)), 0.2)
+
+
+@query()
+def content_dedup(spark, d):
+    rows = fx.vectors(spark, d).withColumns({"shot_id": F.floor(F.col("frame") / 8), "score": (F.col("frame") * 7 % 5).cast("double")})
+    return sequential.content_dedup(rows, 0.03)
+
+
+@query()
+def short_merge(spark, d):
+    return sequential.short_merge(_shot_vectors(spark, d), 60, 0.1)
+
+
+@query()
+def fragment_absorb(spark, d):
+    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.col("shot_id") / 2)), 100)
+
+
+@query()
+def fragment_absorb_by_median(spark, d):
+    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.sqrt(F.col("shot_id")))), 100, ratio=0.35)
+
+
+@query()
+def best_pair_merge(spark, d):
+    return sequential.best_pair_merge(_shot_vectors(spark, d), 0.1)
+
+
+@query()
+def shortest_first(spark, d):
+    return sequential.shortest_first(_shots(spark, d), 20)
+
+
+@query()
+def hac(spark, d):
+    return sequential.hac(fx.vectors(spark, d))
+
+
+@query()
+def density_frames(spark, d):
+    return sequential.density_frames(fx.vectors(spark, d).withColumn("scene_id", F.floor(F.col("frame") / 25)), 1.2)
+
+
+@query()
+def key_frames(spark, d):
+    f = fx.frames(spark, d).select(V, F.floor(F.col("frame") / 100).alias("shot_id"), "frame", "score", (F.col("k") / 100).alias("sharpness"), (F.col("k") % 10 / 10).alias("brightness"))
+    smooth = sequence.gaussian_smooth(f, by=(V, "shot_id"))
+    runs = sequence.first_runs(sequence.stable_runs(smooth, 5, by=(V, "shot_id")), 4, by=(V, "shot_id"))
+    return sequential.key_frames(f, runs.select(V, "shot_id", "start", "end"))
+
+
+@query()
+def signal_events(spark, d):
+    return pipelines.signal_events(fx.frames(spark, d), Params(cut_threshold=40.0, fps=fx.FPS))[1]
+
+
+@query()
+def scenes_without_fragments(spark, d):
+    v = fx.vectors(spark, d)
+    shots = _shot_vectors(spark, d).withColumn("representative_frame", F.col("start"))
+    params = Params(edge_similarity=EDGE, cohesion_mean=0.1, cohesion_p10=0.0)
+    return pipelines.without_fragments(pipelines.scenes_of(shots, v, params), shots, v, params)
