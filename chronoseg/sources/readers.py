@@ -43,7 +43,7 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
 
 def videos(documents: DataFrame) -> DataFrame:
     """Metadata with fallbacks: a missing frame count from duration at 24 frames a second, a missing rate from both."""
-    fps = F.coalesce(F.nullif("fps", F.lit(0.0)), F.try_divide(F.col("total_frames").cast("double"), F.nullif("duration", F.lit(0.0))), F.lit(24.0))
+    fps = F.coalesce(F.nullif("fps", F.lit(0.0)), F.nullif(F.try_divide(F.col("total_frames").cast("double"), F.nullif("duration", F.lit(0.0))), F.lit(0.0)), F.lit(24.0))
     total = F.coalesce(F.nullif("total_frames", F.lit(0)), (F.col("duration") * 24).cast("int"))
     return documents.select(F.col("video").alias("video_id"), "width", "height", total.alias("total"), "duration", fps.alias("fps"))
 
