@@ -62,9 +62,9 @@ def ring_buffer(frames: DataFrame, size: int) -> DataFrame:
 
 
 def speech_sessions(segments: DataFrame, gap_ms: int = 500, late: str = "10 seconds") -> DataFrame:
-    """segments: video_id, begin, end (timestamps). Segments merged while the gap is at most gap_ms: session windows whose
-    own gap is strict, hence one millisecond more."""
-    length = (F.unix_millis("end") - F.unix_millis("begin") + gap_ms + 1).cast("string")
+    """segments: video_id, begin, end (timestamps). Segments merged while the gap is at most gap_ms; session windows that
+    touch are one session."""
+    length = (F.unix_millis("end") - F.unix_millis("begin") + gap_ms).cast("string")
     rows = segments.withWatermark("begin", late)
     merged = rows.groupBy(V, F.session_window("begin", F.concat(length, F.lit(" milliseconds")))).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_merged"))
     return merged.select(V, "begin", "end", "n_merged")
