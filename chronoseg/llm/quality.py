@@ -73,20 +73,23 @@ def _unpack(pattern: np.ndarray) -> np.ndarray:
 
 
 def label_model(pattern: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """The share of good documents and P(vote | class) as [labeller, class, vote + 1], class 1 good. Begins with a share
-    of 0.8 and labellers that are right in four of five votes, which also settles which class is which."""
+    """The share of good documents and P(vote | class, it votes) as [labeller, class, vote + 1], class 1 good; abstaining
+    says nothing (1 for either class). Begins with a share of 0.8 and labellers that are right in four of five votes, which
+    also settles which class is which."""
     v = _unpack(pattern) + 1
     m = v.shape[1]
-    prior, p = 0.8, np.tile(np.array([[0.4, 0.5, 0.1], [0.1, 0.5, 0.4]]), (m, 1, 1))
+    prior, p = 0.8, np.tile(np.array([[0.8, 1.0, 0.2], [0.2, 1.0, 0.8]]), (m, 1, 1))
     for _ in range(rounds):
         post = _posterior(v, prior, p)
         new = np.empty_like(p)
-        for vote in range(3):
+        for vote in (0, 2):
             hit = v == vote
             new[:, 1, vote] = (hit * (post * counts)[:, None]).sum(0)
             new[:, 0, vote] = (hit * ((1 - post) * counts)[:, None]).sum(0)
-        new += 0.5
+        new[:, :, 1] = 0
+        new[:, :, [0, 2]] += 0.5
         new /= new.sum(2, keepdims=True)
+        new[:, :, 1] = 1
         moved = abs(new - p).max()
         prior, p = float(np.clip((post * counts).sum() / max(counts.sum(), 1), 1e-6, 1 - 1e-6)), new
         if moved < 1e-7:

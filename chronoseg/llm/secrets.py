@@ -26,6 +26,8 @@ LEAST_RATIO = 1.0
 #: Labelled samples: random strings made by rule, and documents (those whose id has the smallest hash) whose words are
 #: the ordinary identifiers.
 RANDOM_STRINGS, ORDINARY_DOCUMENTS = 3000, 500
+#: Weight, in pairs, of the frequency of single characters in what follows a character.
+BACKOFF = 5.0
 _FIRST, _WIDE = 33, 94
 
 
@@ -83,8 +85,9 @@ def train_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     counts = np.full((2, _WIDE, _WIDE), 0.0)
     for r in rows:
         counts[r["label"], r["pair"] // _WIDE, r["pair"] % _WIDE] += r["count"]
-    counts += np.array([0.5, 0.5])[:, None, None]
-    p = counts / counts.sum(2, keepdims=True)
+    single = counts.sum(1) + 0.5  # what follows a character that was not seen is as frequent as it is anywhere
+    single /= single.sum(1, keepdims=True)
+    p = (counts + BACKOFF * single[:, None, :]) / (counts.sum(2, keepdims=True) + BACKOFF)
     return np.log(p[1] / p[0]).ravel().round(6).tolist()
 
 
