@@ -103,3 +103,30 @@ def base_name(path) -> Column:
 
 def valid_utf8(raw) -> Column:
     return F.is_valid_utf8(_c(raw))
+
+
+def decide(a: Column, b: Column, mode: str = "and") -> Column:
+    """Whether to merge by two conditions: both, or either."""
+    return a & b if mode == "and" else a | b
+
+
+def profile_or_fallback(text, schema: str, has_image) -> Column:
+    """A model's answer as a profile: its JSON object; without an image one that says so; with an answer that is no
+    object, its first 100 characters in _raw."""
+    parsed = json_object(text, schema)
+    failed = F.struct(*[(F.substring(_c(text), 1, 100) if c.split()[0] == "_raw" else F.lit(None).cast("string")).alias(c.split()[0]) for c in schema.split(", ")])
+    none = F.struct(*[(F.lit("no picture") if c.split()[0] == "visual_summary" else F.lit(None).cast("string")).alias(c.split()[0]) for c in schema.split(", ")])
+    found = F.regexp_extract(_c(text), r"(?s)\{.*\}", 0) != ""
+    good = found & F.exists(F.array(*[parsed[c.split()[0]] for c in schema.split(", ")]), lambda x: x.isNotNull())
+    return F.when(~has_image, none).when(good, parsed).otherwise(failed)
+
+
+def rerank_keywords(words, text_vec, word_vecs, hints, least: float = 0.1, most: int = 8, k: int = 5) -> Column:
+    """Keywords by cosine to the text (above `least`, the `most` best), of them those that contain a hint, else all; the
+    first k. word_vecs holds a vector for each word."""
+    from .vec import cosine
+
+    scored = F.zip_with(_c(words), _c(word_vecs), lambda w, v: F.struct((-cosine(v, _c(text_vec))).alias("s"), w.alias("w")))
+    best = F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < -least)), 1, most), lambda x: x["w"])
+    hinted = F.filter(best, lambda w: F.exists(_c(hints), lambda h: F.contains(w, h)))
+    return F.slice(F.when(F.size(hinted) > 0, hinted).otherwise(best), 1, k)

@@ -221,3 +221,15 @@ def even_subsample(items: Column, k: int) -> Column:
     """All items if k or fewer, else those at int(i n / k)."""
     picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.element_at(items, (F.floor(i * F.size(items) / k) + 1).cast("int")))
     return F.when(F.size(items) <= k, items).otherwise(picked)
+
+
+def merge_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Candidate frames (video_id, frame, reason, score) of two kinds; a frame of both keeps the first kind's row."""
+    both = first.withColumn("_kind", F.lit(0)).unionByName(second.withColumn("_kind", F.lit(1)))
+    w = Window.partitionBy(V, "frame").orderBy("_kind", F.desc("score"))
+    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_kind")
+
+
+def add_cuts(cuts: DataFrame, more: DataFrame) -> DataFrame:
+    """Both sets of cuts, each cut once."""
+    return cuts.select(V, "cut").union(more.select(V, "cut")).distinct()

@@ -113,7 +113,8 @@ def _pieces(df: pd.DataFrame, each: str = "shot_id") -> tuple[list[K.Piece], pd.
     out = []
     for _, rows in df.groupby(each, sort=False):
         i = rows.index
-        out.append(K.Piece(int(i[0]), int(i[-1]), int(rows["start"].min()), int(rows["end"].max()), x[i].sum(0)))
+        words = frozenset(w for ws in rows["words"] for w in ws) if "words" in df else frozenset()
+        out.append(K.Piece(int(i[0]), int(i[-1]), int(rows["start"].min()), int(rows["end"].max()), x[i].sum(0), words))
     return out, df
 
 
@@ -146,6 +147,19 @@ def absorb_fragments(shots: DataFrame, least: int, passes: int = 100, ratio: flo
     return shots.select(V, "shot_id", "scene_id", "start", "end", "embedding").groupBy(V).applyInPandas(run, f"{V} long, scene_id long, shot_ids array<long>, start long, end long")
 
 
+def absorb_by_words(shots: DataFrame, ratio: float = 0.35, passes: int = 100) -> DataFrame:
+    """shots: video_id, shot_id, scene_id, start, end, words (keywords). Scenes shorter than `ratio` of the median scene
+    join the neighbour with which they have more keywords in common (overlap coefficient)."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        pieces, df = _pieces(df.assign(embedding=[[0.0]] * len(df)), "scene_id")
+        median = float(np.median([p.frames for p in pieces])) * ratio
+        short = lambda ps: float(np.median([p.frames for p in ps])) * ratio
+        return _as_groups(df, K.absorb_fragments(pieces, short, median, passes, K.Piece.common_words), "scene_id")
+
+    return shots.select(V, "shot_id", "scene_id", "start", "end", "words").groupBy(V).applyInPandas(run, f"{V} long, scene_id long, shot_ids array<long>, start long, end long")
+
+
 def best_pair_merge(segments: DataFrame, similar: float = 0.5) -> DataFrame:
     """segments: video_id, start, end, embedding."""
 

@@ -564,6 +564,40 @@ def verify_counts(spark, d):
     return checks.verify_counts(plan, got, [V, "shot_id"])
 
 
+@query(f"""WITH {fx.FRAMES}, a AS (SELECT video_id, frame, 'peak' AS reason, round(score, 4) AS score FROM fr WHERE score > 60), b AS (SELECT video_id, frame, 'stable' AS reason, round(score, 4) AS score FROM fr WHERE frame % 3 = 0)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.video_id = b.video_id AND a.frame = b.frame)""")
+def merge_candidates(spark, d):
+    f = fx.frames(spark, d).select(V, "frame", F.round("score", 4).alias("score"))
+    kind = lambda rows, name: rows.select(V, "frame", F.lit(name).alias("reason"), "score")
+    return sequence.merge_candidates(kind(f.filter("score > 60"), "peak"), kind(f.filter("frame % 3 = 0"), "stable"))
+
+
+@query(f"WITH {_CUTS} SELECT video_id, cut FROM cuts UNION SELECT video_id, frame FROM fr WHERE frame % 40 = 20")
+def add_cuts(spark, d):
+    return sequence.add_cuts(_cuts(spark, d), fx.frames(spark, d).filter("frame % 40 = 20").select(V, F.col("frame").alias("cut")))
+
+
+@query(f"WITH {fx.FRAMES}, {fx.SCENES} SELECT video_id, scene_id, (topic <> '' AND asr_text <> '') AS both, (topic <> '' OR asr_text <> '') AS either FROM sc")
+def merge_decision(spark, d):
+    a, b = F.col("topic") != "", F.col("asr_text") != ""
+    return fx.scenes(spark, d).select(V, "scene_id", scalar.decide(a, b).alias("both"), scalar.decide(a, b, "or").alias("either"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS topic,
+  CASE WHEN event_id % 5 = 0 THEN 'no picture' END AS visual_summary, CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN 'broken {' || event_type END AS raw FROM events""")
+def profile_fallback(spark, d):
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("broken {"), F.col("event_type"))).otherwise(F.concat(F.lit('ok {"topic": "'), F.col("event_type"), F.lit('"} end')))
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("p", scalar.profile_or_fallback(said, "topic string, visual_summary string, _raw string", F.col("event_id") % 5 != 0))
+    return rows.select("event_id", "p.topic", "p.visual_summary", F.col("p._raw").alias("raw"))
+
+
+@query()
+def rerank_keywords(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("words", scalar.keywords("text", 12))
+    rows = rows.withColumns({"tv": scalar.letter_vector("text"), "wv": F.transform("words", lambda w: scalar.letter_vector(w)), "hints": F.array(F.lit("th"), F.lit("re"))})
+    return rows.select("conv_id", "turn", scalar.rerank_keywords("words", "tv", "wv", "hints").alias("words"))
+
+
 # Each step of these depends on the one before, so SQL can't express them; the tests compare them with plain loops.
 
 
@@ -625,6 +659,14 @@ def fragment_absorb_by_median(spark, d):
     return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.sqrt(F.col("shot_id")))), 100, ratio=0.35)
 
 
+@query()
+def fragment_absorb_by_words(spark, d):
+    scenes = fx.scenes(spark, d).withColumn("words", scalar.keywords("visual_summary"))
+    size = F.when(F.col("scene_id") % 4 == 0, F.col("start") + 1).otherwise(F.col("end"))
+    rows = scenes.select(V, F.col("scene_id").alias("shot_id"), "scene_id", "start", size.alias("end"), "words")
+    return sequential.absorb_by_words(rows)
+
+
 @query()
 def best_pair_merge(spark, d):
     return sequential.best_pair_merge(_shot_vectors(spark, d), 0.1)
