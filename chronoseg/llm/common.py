@@ -100,6 +100,16 @@ def cells(rows: DataFrame, size: str, item: str, most: int) -> DataFrame:
     return rows.withColumn("cell_a", F.least("block", "_other")).withColumn("cell_b", F.greatest("block", "_other")).drop("_g", "_other")
 
 
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows whose key has the smallest hash, ties by key. A range of hashes that holds twice as many is cut out
+    first, so that no task gets more than that, however many partitions there are."""
+    n = rows.count()
+    part = rows.withColumn("_h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)))
+    if n > 4 * most:
+        part = part.filter(F.col("_h") < int((1 << 30) * 2 * most / n))
+    return part.orderBy("_h", key).limit(most).drop("_h")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each row begins (one more than rows); null counts as empty."""
     column = pc.fill_null(column, "")

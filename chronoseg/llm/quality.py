@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, mix, pieces, stash, text_buffers, word_hashes, word_spans
+from .common import column_of, hash_sample, mix, pieces, stash, text_buffers, word_hashes, word_spans
 
 FEATURES = 1 << 14
 #: Documents that the scorer is trained on: those whose id has the smallest hash, as whole texts.
@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     voted = stash(rows.mapInArrow(vote, T.StructType([rows.schema["id"], T.StructField("pattern", T.LongType())])), "votes")
     table = voted.groupBy("pattern").count().orderBy("pattern").toPandas()  # at most 729 rows
     prior, p = label_model(table["pattern"].to_numpy(np.int64), table["count"].to_numpy(float))
-    chosen = rows.filter(F.length(F.trim("text")) > 0).select(F.xxhash64(F.col("id").cast("string"), F.lit(1)).alias("h"), "id", "text").orderBy("h", "id").limit(sample)
+    chosen = hash_sample(rows.filter(F.length(F.trim("text")) > 0), "id", sample)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: The kinds in the order in which spans that begin together are listed; patterns with the group that has a least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"(?i)(password|passwd|secret|token|api_?key)"
@@ -75,7 +77,7 @@ def train_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     n = spark.range(RANDOM_STRINGS)
     shapes = [F.base64(F.unhex(seed)), F.translate(F.base64(F.unhex(F.sha2(seed, 256))), "+/=", ""), F.translate(F.base64(F.unhex(F.sha2(F.concat(seed, F.lit("u")), 256))), "+/", "-_"), F.substring(F.sha2(F.concat(seed, F.lit("h")), 256), 1, 40), F.upper(F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(seed, F.lit("k")), 256))), "+/=", ""), 1, 24))]
     random = n.select(F.explode(F.array(*shapes)).alias("token"), F.lit(1).alias("label"))
-    few = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(id_column).alias("id"), F.col(text).alias("text")).orderBy("h", "id").limit(ORDINARY_DOCUMENTS)
+    few = hash_sample(docs.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", ORDINARY_DOCUMENTS)
     words = few.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("w")).filter(~F.col("w").rlike("[0-9]"))
     # the words as they are, and joined as identifiers are
     styles = F.array(F.col("w"), F.concat(F.lower("w"), F.lit("_"), F.lower("w")), F.concat(F.lower("w"), F.initcap("w")), F.upper("w"), F.concat(F.lower("w"), F.lit("-"), F.lower("w"), F.lit("/"), F.lower("w")), F.concat(F.lower("w"), F.lit("2="), F.lower("w"), F.lit("_10")))
