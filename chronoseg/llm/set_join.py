@@ -2,13 +2,15 @@
 
 A set is its sorted 64-bit gram hashes. Two sets that link share at least need(n) = ceil(t n) grams of either, so each
 misses at most n - need(n) of its own. Hence, of the first n - need(n) + l grams of each by any common order, a linked
-pair shares l (for the smaller l of the two). This gives three steps that lose no link:
+pair shares l (for the smaller l of the two). This gives steps that lose no link:
 
 1. The heads of all sets, by hash, are asked for how often each gram occurs among heads. A set with fewer than l common
-   grams in its head links with nothing; almost all sets end here. Equal sets become one class.
-2. The heads that stay are ordered by rarity; their prefixes form the index: per gram, a list of sets by size.
-3. Lists are read in blocks by position: from a set on, blocks are skipped from the first on whose smallest size is out
-   of its reach.
+   grams in its head links with nothing; most sets end here. Equal sets become one class.
+2. The sets that stay are asked for all their grams. One with fewer than need(n) common grams links with nothing. The
+   n - need(n) + 1 rarest grams of the others form the index: per gram, a list of sets by size, with the gram's position.
+3. Lists are read in blocks: from a set on, the blocks from the first on are skipped whose smallest size is out of its
+   reach; of the others, sets whose position leaves too few grams for the overlap that both sizes need, and those whose
+   parity bitmap (one bit flipped for each gram) differs in more bits than linked sets can have grams apart.
 
 Answers of similar sets are reused: in some rounds each set is compared with one set only of the lists it stands in.
 Once it links with that, its component is known from the answers of that set, and the two are never paired again with
@@ -41,6 +43,15 @@ BLOCK = 64
 CHUNK_SETS, BROADCAST_KEYS = 500, 1_000_000
 
 
+#: Bits of a set's parity bitmap: two sets differ in at least as many grams as their bitmaps in bits.
+BITS = 512
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Threshold:
     """Jaccard of at least num / den, in integers."""
 
@@ -62,6 +73,10 @@ class Threshold:
         """How many grams a linked pair's heads share, seen from a set of n grams: the smallest partner has need(n)."""
         return self.extra(self.need(n))
 
+    def both(self, a, b):
+        """How many grams sets of a and b grams must share to link."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
     def linked(self, both, a, b):
         return self.den * both >= self.num * (a + b - both)
 
@@ -124,52 +139,58 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _survivors(t: Threshold, prefixes: bool):
-    """A chunk and the replies to it: the sets whose heads have enough common grams, with their heads; or the common
-    grams of their prefixes by rarity."""
+def _survivors(t: Threshold):
+    """A chunk and the replies to it: the sets whose heads have enough common grams."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shared, counts = replies_of(right)
-        heads, postings = [], []
+        kept = []
         for row in left.to_pylist():
             rids, ks, sizes = (np.frombuffer(row[x], "<i8") for x in ("rids", "ks", "sizes"))
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], "<i4"))])
+            total = np.concatenate([[0], np.cumsum(lookup(shared, counts, np.frombuffer(row["keys"], "<u8"), 1) > 1)])
+            stay = (sizes > 0) & (total[ends[1:]] - total[ends[:-1]] >= t.least(sizes))
+            kept.append((rids[stay], ks[stay]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([x[i] for x in kept]) if kept else np.zeros(0, np.int64)) for i in range(2)], ["rid", "k"])
+
+    return run
+
+
+def _index(t: Threshold):
+    """The same for whole sets: the common grams of their prefixes by rarity, with their positions."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared, counts = replies_of(right)
+        out, bits = [(np.zeros(0, np.int64),) * 4], [np.zeros((0, BITS // 64), np.int64)]
+        for row in left.to_pylist():
+            rids = np.frombuffer(row["rids"], "<i8")
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], "<i4"))])
             keys = np.frombuffer(row["keys"], "<u8")
             often = lookup(shared, counts, keys, 1)
-            total = np.concatenate([[0], np.cumsum(often > 1)])
-            common = total[ends[1:]] - total[ends[:-1]]
-            for i in np.flatnonzero((sizes > 0) & (common >= t.least(sizes))):
-                head, rate = keys[ends[i] : ends[i + 1]], often[ends[i] : ends[i + 1]]
-                if not prefixes:
-                    heads.append((rids[i], ks[i], sizes[i], row["signs"][16 * i : 16 * i + 16], head.tobytes()))
+            for i, rid in enumerate(rids):
+                grams, rate = keys[ends[i] : ends[i + 1]], often[ends[i] : ends[i + 1]]
+                n, need = len(grams), t.need(len(grams))
+                alone = int((rate == 1).sum())
+                if n - alone < need:
                     continue
-                order = np.argsort(rate, kind="stable")[: len(head) - int(t.least(sizes[i])) + 1]
-                order = order[rate[order] > 1]
-                postings.append((head[order].view(np.int64), rids[i], sizes[i]))
-        if not prefixes:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.Table.from_arrays([pa.array([x[i] for x in heads], kind) for i, kind in enumerate(kinds)], ["rid", "k", "n", "sign", "head"])
-        lengths = [len(x[0]) for x in postings]
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.concatenate([x[0] for x in postings]) if postings else np.zeros(0, np.int64)),
-                pa.array(np.repeat(np.array([x[1] for x in postings], np.int64), lengths)),
-                pa.array(np.repeat(np.array([x[2] for x in postings], np.int64), lengths)),
-            ],
-            ["gram", "rid", "n"],
-        )
+                order = np.argsort(rate, kind="stable")[alone : n - need + 1]
+                out.append((grams[order].view(np.int64), np.full(len(order), rid), np.full(len(order), n), alone + np.arange(len(order))))
+                bits.append(np.repeat(parity(grams)[None], len(order), 0))
+        flat = np.concatenate(bits)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * (BITS // 64), pa.int32()), pa.array(flat.ravel()))
+        return pa.Table.from_arrays([*(pa.array(np.concatenate([x[i] for x in out])) for i in range(4)), lists], ["gram", "rid", "n", "position", "bits"])
 
     return run
 
 
-def _rechunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 24
     for batch in batches:
         for a in range(0, batch.num_rows, CHUNK_SETS):
             part = batch.slice(a, CHUNK_SETS)
-            rids, ks, sizes = (column_of(part, x).to_numpy() for x in ("rid", "k", "n"))
-            heads = [np.frombuffer(x, "<u8") for x in column_of(part, "head").to_pylist()]
-            yield _chunk_row(chunk, rids, rids, np.zeros(len(rids)), ks, sizes, column_of(part, "sign").to_pylist(), heads)
+            grams = column_of(part, "grams").to_pylist()
+            lengths = np.array([len(x) // 8 for x in grams], "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (column_of(part, "rid").to_numpy().astype("<i8").tobytes(), lengths.tobytes(), b"".join(grams)))], ["chunk", "rids", "lengths", "keys"])
             chunk += 1
 
 
@@ -201,29 +222,39 @@ def _verify(t: Threshold):
 
 
 def _pairs(t: Threshold):
-    """Rows of a bucket of cells (gram, cell_a, cell_b, block, rid, n, comp) to the pairs of sets that stand in one cell,
-    are in different components, and whose sizes can link."""
+    """Rows of a bucket of cells (gram, cell_a, cell_b, block, rid, n, position, comp) to the pairs of sets that stand in
+    one cell, are in different components, and can link by their sizes and positions. A pair need only be found at its
+    first common gram, and what follows there bounds its overlap."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram, ca, cb, block, rid, n, comp = (table.column(x).to_numpy() for x in ("gram", "cell_a", "cell_b", "block", "rid", "n", "comp"))
+        gram, ca, cb, block, rid, n, position, comp = (table.column(x).to_numpy() for x in ("gram", "cell_a", "cell_b", "block", "rid", "n", "position", "comp"))
         order = np.lexsort((rid, n, cb, ca, gram))
-        gram, ca, cb, block, rid, n, comp = (x[order] for x in (gram, ca, cb, block, rid, n, comp))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)[order]
+        gram, ca, cb, block, rid, n, position, comp = (x[order] for x in (gram, ca, cb, block, rid, n, position, comp))
         cut = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]))
-        found = [np.zeros((0, 2), np.int64)]
+        found, held = [np.zeros((0, 2), np.int64)], 0
         for a, b in zip(cut, np.append(cut[1:], len(gram)), strict=True):
-            sizes = n[a:b]
+            sizes, rest = n[a:b], n[a:b] - position[a:b]
             if b - a < 2 or (comp[a:b] == comp[a]).all():
                 continue
             smallest = sizes[::BLOCK]  # of each block of the list
             for i in range(b - a - 1):
                 reach = sizes[i] * t.den // t.num
                 stop = min(b - a, BLOCK * int(np.searchsorted(smallest, reach, "right")))
-                j = a + i + 1 + np.flatnonzero((comp[a + i + 1 : a + stop] != comp[a + i]) & (sizes[i + 1 : stop] <= reach))
+                others = slice(i + 1, stop)
+                go = (comp[a + i + 1 : a + stop] != comp[a + i]) & (sizes[others] <= reach) & (np.minimum(rest[others], rest[i]) >= t.both(sizes[others], sizes[i]))
+                j = a + i + 1 + np.flatnonzero(go)
                 if ca[a] != cb[a]:
                     j = j[block[j] != block[a + i]]
-                found.append(np.stack([np.minimum(rid[a + i], rid[j]), np.maximum(rid[a + i], rid[j])], 1))
-            if sum(map(len, found)) > 1 << 20:
+                if len(j):
+                    apart = np.bitwise_count(bits[j] ^ bits[a + i]).sum(1, dtype=np.int64)
+                    j = j[apart <= n[j] + n[a + i] - 2 * t.both(n[j], n[a + i])]
+                if len(j):
+                    found.append(np.stack([np.minimum(rid[a + i], rid[j]), np.maximum(rid[a + i], rid[j])], 1))
+                    held += len(j)
+            if held > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -245,22 +276,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     chunks = stash(rows.mapInArrow(_scan(n, t), _CHUNK), "heads")
     members = stash(chunks.mapInArrow(_members, "rid long, id long, n long, sign binary"), "members")
 
-    def survive(chunks: DataFrame, prefixes: bool, schema: str) -> DataFrame:
-        return chunks.groupBy("chunk").cogroup(shared_keys(chunks).groupBy("chunk")).applyInArrow(_survivors(t, prefixes), schema)
+    def asked(chunks: DataFrame, f, schema: str, name: str) -> DataFrame:
+        return stash(chunks.groupBy("chunk").cogroup(shared_keys(chunks).groupBy("chunk")).applyInArrow(f, schema), name)
 
-    first = stash(survive(chunks, False, "rid long, k long, n long, sign binary, head binary"), "survivors")
+    first = asked(chunks, _survivors(t), "rid long, k long", "survivors")
     drop(chunks)
     classes = stash(members.filter("n > 0").groupBy("sign").agg(F.min("rid").alias("rid"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("group_size")), "classes")
-    heads = stash(first.join(classes.select("rid"), "rid", "left_semi").mapInArrow(_rechunk, _CHUNK), "heads")
-    index = stash(survive(heads, True, "gram long, rid long, n long"), "index")
+    wanted = stash(first.join(classes.select("rid"), "rid", "left_semi"), "wanted")  # one row of each class
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    # rows that repeat an id and text have the same k and set; a class has one rid
+    sets = stash(rows.select("k", "text").join(near, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_full_sets(n), "rid long, grams binary"), "sets")
+    whole = stash(sets.mapInArrow(_set_chunks, "chunk long, rids binary, lengths binary, keys binary"), "sets")
+    index = asked(whole, _index(t), "gram long, rid long, n long, position long, bits array<long>", "index")
+    drop(whole)
     lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    index = stash(attach(index, lists, "gram", index.count()).filter("group_size > 1"), "index")
     postings = index.count()
-    index = stash(attach(index, lists, "gram", postings).filter("group_size > 1"), "index")
-    sets_of = index.select("rid").distinct().join(first.select("rid", "k"), "rid")
-    n_sets = (sets_of := stash(sets_of, "wanted")).count()
-    wanted = F.broadcast(sets_of) if n_sets <= BROADCAST_KEYS else sets_of
-    # rows that repeat an id and text have the same k and set; a class has one rid
-    sets = stash(rows.select("k", "text").join(wanted, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_full_sets(n), "rid long, grams binary"), "sets")
+    sets = stash(sets.join(index.select("rid").distinct(), "rid", "left_semi"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
@@ -271,13 +303,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     def by_component() -> DataFrame:
         at = index.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-        return at.select("gram", "rid", "n", "group_size", F.coalesce("label", "rid").alias("comp"))
+        return at.select("gram", "rid", "n", "position", "bits", "group_size", F.coalesce("label", "rid").alias("comp"))
 
     for r in range(ROUNDS):
         at = stash(by_component(), "lists")
-        lead = at.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.xxhash64("rid", F.lit(r)), F.col("rid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("lead"))
+        lead = at.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.xxhash64("rid", F.lit(r)), F.col("rid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("bits").alias("bits"))).alias("lead"))
         tried = attach(at.drop("group_size"), lead, "gram", postings).filter("comp <> lead.other")
         tried = tried.filter((F.least("n", "lead.m") * den) >= (F.greatest("n", "lead.m") * num))
+        both = F.ceil((F.col("n") + F.col("lead.m")) * num / F.lit(num + den))
+        apart = F.aggregate(F.zip_with("bits", "lead.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        tried = tried.filter(apart <= F.col("n") + F.col("lead.m") - 2 * both)
         tried = tried.groupBy(F.col("rid").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
         best = tried.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
         new = stash(verified(best), "links")
