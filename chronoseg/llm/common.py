@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -193,6 +194,27 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix((total[n:] - total[:k]) * down[:k])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside the JVM, and the next stage needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library: nothing to trim by
+
+
+def frugal(run):
+    """A function of batches that gives memory back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, column_of, stash
+from .common import attach, column_of, frugal, stash
 
 #: Bits of the node number that one round settles: up to eight runs meet in one merge.
 ROUND_BITS = 3
@@ -35,7 +35,7 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
             more = [pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "_digest", "_length"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_length", T.LongType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_length", T.LongType())]))
 
 
 _RUN = pa.schema([("node", pa.int32()), ("_digest", pa.binary()), ("_length", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])

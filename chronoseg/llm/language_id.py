@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, mix, pieces, text_buffers
+from .common import column_of, frugal, mix, pieces, text_buffers
 
 BUCKETS = 1 << 14
 #: Labelled documents of each language that training reads, chosen by a hash of the id.
@@ -162,7 +162,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(x[at])})
 
-    table = chosen.repartition(16).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = chosen.repartition(16).mapInArrow(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((len(languages), BUCKETS))
     out[pd.Index(languages).get_indexer(table["lang"]), table["bucket"]] = table["n"]
     return Model(languages, out)
@@ -197,4 +197,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from pyspark.sql import types as T
 
     more = T.StructType().add("lang_pred", "string").add("score", "double").add("unknown", "double").add("shares", T.MapType(T.StringType(), T.DoubleType()))
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + more.fields))
+    return docs.mapInArrow(frugal(run), T.StructType(docs.schema.fields + more.fields))

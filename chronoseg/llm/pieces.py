@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of
+from .common import column_of, frugal
 
 MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -184,9 +184,10 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
             if check:
                 more.append(pa.array([None if t is None else m.decode(i) == t for t, i in zip(texts, ids, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "piece_ids", "n_pieces", *["round_trip"] * check])
+        m.known.clear()  # the worker lives on; the next task meets other words first
 
     added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())] + [T.StructField("round_trip", T.BooleanType())] * check
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cells, column_of, drop, gram_hashes, pieces, stash, text_buffers, word_hashes, word_spans
+from .common import attach, cells, column_of, drop, frugal, gram_hashes, pieces, stash, text_buffers, word_hashes, word_spans
 from .components import components
 from .shared_keys import lookup, replies_of, shared_keys
 
@@ -273,8 +273,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     spark, t = docs.sparkSession, Threshold(num, den)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("k", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
-    chunks = stash(rows.mapInArrow(_scan(n, t), _CHUNK), "heads")
-    members = stash(chunks.mapInArrow(_members, "rid long, id long, n long, sign binary"), "members")
+    chunks = stash(rows.mapInArrow(frugal(_scan(n, t)), _CHUNK), "heads")
+    members = stash(chunks.mapInArrow(frugal(_members), "rid long, id long, n long, sign binary"), "members")
 
     def asked(chunks: DataFrame, f, schema: str, name: str) -> DataFrame:
         return stash(chunks.groupBy("chunk").cogroup(shared_keys(chunks).groupBy("chunk")).applyInArrow(f, schema), name)
@@ -285,8 +285,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     wanted = stash(first.join(classes.select("rid"), "rid", "left_semi"), "wanted")  # one row of each class
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     # rows that repeat an id and text have the same k and set; a class has one rid
-    sets = stash(rows.select("k", "text").join(near, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_full_sets(n), "rid long, grams binary"), "sets")
-    whole = stash(sets.mapInArrow(_set_chunks, "chunk long, rids binary, lengths binary, keys binary"), "sets")
+    sets = stash(rows.select("k", "text").join(near, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(frugal(_full_sets(n)), "rid long, grams binary"), "sets")
+    whole = stash(sets.mapInArrow(frugal(_set_chunks), "chunk long, rids binary, lengths binary, keys binary"), "sets")
     index = asked(whole, _index(t), "gram long, rid long, n long, position long, bits array<long>", "index")
     drop(whole)
     lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(frugal(_verify(t)), "a long, b long")
 
     links = None
     labels = spark.createDataFrame([], "node long, label long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of
+from .common import column_of, frugal, give_back
 
 BUCKET_KEYS = 1 << 20
 
@@ -63,9 +63,10 @@ def shared_keys(chunks: DataFrame) -> DataFrame:
             at += len(k)
             if (go := t > 1).any():
                 out.append((chunk, k[go].tobytes(), np.minimum(t[go], 2**32 - 1).astype("<u4").tobytes()))
+        give_back()
         return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["chunk", "shared", "counts"])
 
-    asked = chunks.select("chunk", "keys").mapInArrow(ask, "bucket int, chunk long, keys binary, counts binary")
+    asked = chunks.select("chunk", "keys").mapInArrow(frugal(ask), "bucket int, chunk long, keys binary, counts binary")
     return asked.groupBy("bucket").applyInArrow(reply, "chunk long, shared binary, counts binary")
 
 
