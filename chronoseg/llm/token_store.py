@@ -17,10 +17,11 @@ that Spark's commit protocol covers lost executors.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, stash, text_buffers
+from .common import column_of, stash
 
 BLOCK = 512
 WIDTHS = (1, 1, 2)
@@ -115,55 +116,95 @@ class Dac:
         return out
 
 
+#: Texts of these characters only are cut here as the tokenizer does it: contractions, letters, single digits, other runs.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \t\n\r\x0b\x0c]*")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+")
+#: Pieces that one call of the tokenizer gets, joined by spaces.
+JOINED = 64
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops ASCII white space and never joins what stands on its two sides, by
-    encoding each distinct word once; the words seen last are remembered, up to a bound."""
+    """Encodes texts with a lower-casing tokenizer that drops white space and marks the last token of each word, by
+    encoding each distinct word once. Texts of Latin letters are cut as the tokenizer's pre-tokenizer cuts them, others at
+    ASCII white space. Remembered words have a bound; beyond it the first half stays, as frequent words are met early."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.slots: dict[str, int] = {}
         self.tokens, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.count = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.begin, self.count = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each."""
-        split = [t.split() for t in texts]
+        split = [_CUT.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else ["\0" + w.decode() for w in t.encode().split()] for t in texts]
         words = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), np.int64, len(split))
-        new = list(dict.fromkeys(w for w in words if w not in self.slots))
-        if len(self.slots) + len(new) > self.most:
-            self._clear()
-            new = list(dict.fromkeys(words))
-            if len(new) > self.most:  # more distinct words than the bound in one batch
-                if len(texts) == 1:
-                    self.begin, self.count = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-                else:
-                    half = len(texts) // 2
-                    a, b = self.encode(texts[:half]), self.encode(texts[half:])
-                    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, slot = e.ids, len(self.slots)
-                if self.used + len(ids) > len(self.tokens):
-                    self.tokens = np.concatenate([self.tokens, np.zeros(len(self.tokens) + len(ids), np.uint32)])
-                self.slots[w] = slot
-                self.begin[slot], self.count[slot] = self.used, len(ids)
-                self.tokens[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        if (slots < 0).any():
+            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(slots < 0)))
+            if len(self.slots) + len(new) > self.most:
+                self._forget()
+                new = list(dict.fromkeys(w for w in words if w not in self.slots))
+                if len(self.slots) + len(new) > self.most:  # more distinct words than the bound in one batch
+                    if len(texts) > 1:
+                        half = len(texts) // 2
+                        a, b = self.encode(texts[:half]), self.encode(texts[half:])
+                        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+                    more = np.zeros(len(self.slots) + len(new) + 1 - len(self.begin), np.int64)
+                    self.begin, self.count = np.concatenate([self.begin, more]), np.concatenate([self.count, more])
+            self._learn(new)
+            slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         count = self.count[slots]
         ends = np.concatenate([[0], np.cumsum(count)])
         out = self.tokens[np.arange(ends[-1]) + np.repeat(self.begin[slots] - ends[:-1], count)]
         doc = np.concatenate([[0], np.cumsum(per_text)])
         return out, ends[doc[1:]] - ends[doc[:-1]]
 
+    def _forget(self) -> None:
+        half = min(self.most // 2, len(self.slots))
+        self.slots = dict(islice(self.slots.items(), half))
+        self.used = int(self.begin[half - 1] + self.count[half - 1]) if half else 0
+        self.begin, self.count = self.begin[: self.most + 1], self.count[: self.most + 1]
+
+    def _learn(self, new: list[str]) -> None:
+        for k in range(0, len(new), 64 * JOINED):
+            part = new[k : k + 64 * JOINED]
+            plain = [w for w in part if w[0] != "\0"]
+            other = [w[1:] for w in part if w[0] == "\0"]
+            flat, count = self._encode_plain(plain)
+            whole = self._library(other)
+            self._add(plain, flat, count)
+            self._add(["\0" + w for w in other], np.fromiter(chain.from_iterable(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole)))
+
+    def _add(self, words: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, np.zeros(len(self.tokens) + len(flat), np.uint32)])
+        self.tokens[self.used : self.used + len(flat)] = flat
+        slot = len(self.slots)
+        self.count[slot : slot + len(words)] = count
+        self.begin[slot : slot + len(words)] = self.used + np.cumsum(count) - count
+        self.used += len(flat)
+        self.slots.update(zip(words, range(slot, slot + len(words)), strict=True))
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Several words in one call; the marks of last tokens tell them apart."""
+        ids = self._library([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(words):  # a tokenizer that marks no ends
+            ids = self._library(words)
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        return flat, np.diff(ends, prepend=0)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -195,12 +236,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column: st
             return pa.RecordBatch.from_pydict({f.name: pa.array(v, f.type) for f, v in zip(_SEGMENT_TYPE, row, strict=True)})
 
         for batch in batches:
-            data, off = text_buffers(column_of(batch, "text"))
-            raw, column = data.tobytes(), column_of(batch, "id")
+            texts, column = [t or "" for t in column_of(batch, "text").to_pylist()], column_of(batch, "id")
             ids, missing = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
             for a in range(0, batch.num_rows, 128):
                 b = min(a + 128, batch.num_rows)
-                tokens, counts = enc.encode([raw[off[i] : off[i + 1]] for i in range(a, b)])
+                tokens, counts = enc.encode(texts[a:b])
                 tokens = np.insert(tokens, np.cumsum(counts), end_id)
                 held.append((ids[a:b], missing[a:b], counts + 1, tokens))
                 n += len(tokens)
@@ -243,4 +283,6 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     }
                 )
 
+    n = segments.agg(F.count(F.lit(1))).first()[0]
+    starts = F.broadcast(starts) if n <= 1_000_000 else starts  # 16 bytes for each segment
     return segments.join(starts, ["part", "seq"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

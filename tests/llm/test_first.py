@@ -46,8 +46,9 @@ def test_dac_reads_any_token():
 
 def test_word_encoder_forgets_and_agrees():
     enc = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most=3)
-    texts = ["a b c d e f", "", "g h i", "a a a b"]
-    ids, counts = enc.encode([t.encode() for t in texts])
+    texts = ["a b c d e f", "", "g h i", "a a a b", "it's 'tis don't!'s '' A1b22 É² x<|endoftext|>y THEY'LL ñ'd ß'sß µm ×3 ÷ \x1f áb Ünü 'Re''ve1's Straße,\x0bñu0308o", "漢字 ＡＢ İx"]
+    ids, counts = enc.encode(texts)
+    assert enc.encode(texts[:1])[0].tolist() == enc.encode(texts[:1])[0].tolist()
     want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
 
