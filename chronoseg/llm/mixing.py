@@ -125,6 +125,12 @@ def training_rows(docs: DataFrame, **options) -> DataFrame:
     return rows.orderBy("position").select("carried.*")
 
 
+def by_position(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """All rows of mix_documents(), those that the mix takes nothing of too, range-sorted by position over all
+    partitions; ties by source (null first) and id."""
+    return mixed.orderBy("position", "source", id_column)
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """Documents that the mix takes, range-sorted by position over all partitions."""
     return mixed.filter("taken > 0").orderBy("position", "source")

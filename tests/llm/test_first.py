@@ -96,6 +96,25 @@ def test_mixing(spark, docs):
     assert order == sorted(order)
 
 
+def test_op10_gives_the_training_order(spark):
+    from chronoseg.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    whole = QUERIES["op10_training_order"][0](spark, data).collect()
+    n = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert len(whole) == n and any(r.taken == 0 for r in whole)
+    assert [r.position for r in whole] == sorted(r.position for r in whole)
+    for r in whole:
+        assert len(r.copy_positions) == (-(-r.taken // r.size) if r.size else 0)
+        assert list(r.copy_positions) == sorted(r.copy_positions) and all(0 <= p <= 1 for p in r.copy_positions)
+        assert not r.taken or r.copy_positions[0] == r.position
+    mixed = QUERIES["op10_mixing"][0](spark, data)
+    assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert [tuple(r) for r in mixed.collect()] == [tuple(r)[:5] for r in whole]  # in the same order
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [position" in plan
+
+
 def test_inverse_demand(spark):
     from pyspark.sql import functions as F
 
