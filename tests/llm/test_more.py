@@ -222,6 +222,37 @@ def test_language_mixture(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    import corpus_pipeline
+
+    r = random.Random(1)
+    say = lambda i: "".join(r.choice([chr(0x4E00 + 8 * i + j) for j in range(3)]) for _ in range(60))
+    rows = [(1000 * c + i, say(i), f"l{i:03}") for c in range(2) for i in range(450)]
+    rows += [(3000 + i, say(i) + say(i), None) for i in range(440, 450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True))
+    assert len(model.languages) == 450 and not model.dense
+    got = {x.doc_id: x for x in language_id.predict(df, model).collect()}
+    assert all(got[i].lang_pred == f"l{i % 1000:03}" and got[i].unknown < 0.5 for i, _, _ in rows)
+    assert corpus_pipeline.identify_language(spark, df, "").count() == len(rows)
+
+
+def test_sparse_model_is_the_dense_one(monkeypatch):
+    r = np.random.default_rng(2)
+    counts = r.integers(0, 40, (6, language_id.BUCKETS)) * (r.random((6, language_id.BUCKETS)) < 0.2)
+    lang, bucket = np.nonzero(counts)
+    key = np.unique(np.concatenate([t * language_id.BUCKETS + r.choice(bucket[np.isin(lang, own)], 400) for t, own in enumerate([[0], [1, 2], [3], [4, 5], [0, 3, 5]])]))
+    texts = key // language_id.BUCKETS, key % language_id.BUCKETS, r.integers(1, 5, len(key)), 6
+    names = list("abcdef")
+    want, has = language_id.Model(names, lang, bucket, counts[lang, bucket]).mixtures(*texts)
+    monkeypatch.setattr(language_id, "DENSE_LANGUAGES", 0)
+    sparse = language_id.Model(names, lang, bucket, counts[lang, bucket])
+    assert not sparse.dense and has.tolist() == [True] * 5 + [False]
+    assert np.allclose(sparse.mixtures(*texts)[0], want, atol=1e-9)
+    monkeypatch.setattr(language_id, "CELLS", 1000)  # a text at a time
+    assert np.allclose(sparse.mixtures(*texts)[0], want, atol=2e-3)
+
+
 def test_pieces_round_trip_and_are_best(spark):
     import public_tokenizers
 
