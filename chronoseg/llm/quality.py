@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, hash_sample, mix, pieces, stash, text_buffers, word_hashes, word_spans
+from .common import column_of, gram_hashes, hash_sample, mix, pieces, stash, text_buffers, word_hashes, word_spans
 
 FEATURES = 1 << 14
 #: Documents that the scorer is trained on: those whose id has the smallest hash, as whole texts.
 SAMPLE = 4000
+#: Distinct words are counted in blocks of about so many, and of longer texts also the distinct runs of RUN words.
+BLOCK_WORDS, RUN = 1000, 8
 LABELLERS = ("symbols", "shouting", "repeated words", "marked words", "word length", "digits")
 
 
@@ -37,6 +39,32 @@ _CLASS = _class_table()
 _SHAPE = np.where(_CLASS > 0, _CLASS, np.arange(256)).astype(np.uint64)
 
 
+def _distinct(hashes: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct hashes each of n groups has."""
+    order = np.lexsort((hashes, group))
+    h, g = hashes[order], group[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return np.bincount(g[new], minlength=n)
+
+
+def _fresh(hashes: np.ndarray, row: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """The share of words that are new in their block of equal blocks of BLOCK_WORDS at most or, if that is less, of runs
+    of words that are new in the whole text. Does not fall with the length of a text that repeats nothing."""
+    n, words = len(woff) - 1, woff[1:] - woff[:-1]
+    blocks = np.maximum(1, -(-words // BLOCK_WORDS))
+    begin = np.cumsum(blocks) - blocks
+    place = np.arange(len(hashes)) - woff[:-1][row]
+    block = begin[row] + place * blocks[row] // words[row]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (np.add.reduceat(_distinct(hashes, block, blocks.sum()), begin) if n else np.zeros(0)) / words
+    inside = (blocks[row] > 1) & (place + RUN <= words[row])
+    if inside.any():
+        grams = gram_hashes(hashes, RUN)
+        out = np.where(blocks > 1, np.minimum(out, _distinct(grams[inside[: len(grams)]], row[inside], n) / np.maximum(1, words - RUN + 1)), out)
+    return out
+
+
 def votes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row for each text and a column for each labeller: 1 good, -1 bad, 0 abstains (always for blank texts)."""
     n = len(off) - 1
@@ -50,17 +78,14 @@ def votes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     words = (woff[1:] - woff[:-1]).astype(float)
     row = np.repeat(np.arange(n), woff[1:] - woff[:-1])
     hashes = word_hashes(data, s, e, lower=True)
-    distinct = np.bincount(np.unique(np.stack([row.astype(np.uint64), hashes], 1), axis=0)[:, 0].astype(np.int64), minlength=n)
+    fresh = _fresh(hashes, row, woff)
     marked = np.bincount(row, (_CLASS[data[e - 1]] == 0) & ~np.isin(data[e - 1], np.frombuffer(b".,;:?'\")", np.uint8)), n) if len(s) else np.zeros(n)
     with np.errstate(divide="ignore", invalid="ignore"):
-        rate = [symbols / size, upper / letters, distinct / words, marked / words, np.bincount(row, e - s, n) / words, digits / size]
+        rate = [symbols / size, upper / letters, fresh, marked / words, np.bincount(row, e - s, n) / words, digits / size]
     good = [rate[0] < 0.06, rate[1] < 0.2, rate[2] > 0.5, rate[3] < 0.1, (rate[4] > 2.5) & (rate[4] < 15), rate[5] < 0.05]
     bad = [rate[0] > 0.1, rate[1] > 0.5, rate[2] < 0.4, rate[3] > 0.25, (rate[4] < 1.8) | (rate[4] > 25), rate[5] > 0.2]
     # what a short text can't show is no vote
     heard = [words > 0, letters >= 20, words >= 20, words >= 5, words >= 5, words > 0]
-    # many distinct words are expected of a short text only
-    good[2] &= words < 2000
-    bad[2] &= words < 2000
     return np.stack([np.where(h, g.astype(np.int8) - b.astype(np.int8), 0) for g, b, h in zip(good, bad, heard, strict=True)], 1).astype(np.int8)
 
 

@@ -280,6 +280,16 @@ def test_pieces_round_trip_and_are_best(spark):
     assert pieces.encode_pieces(table(spark, texts).limit(0), path).count() == 0
 
 
+def test_repetition_is_seen_in_long_texts():
+    r = random.Random(4)
+    line = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    texts = [line(8) + " "] * 1 + [line(600)]
+    texts = [texts[0] * 3000, (texts[1] + " ") * 30, (line(2500) + " ") * 4, line(6000), line(300), "", texts[0] * 5]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0] + [len(t) for t in texts])
+    assert quality.votes(data, off)[:, quality.LABELLERS.index("repeated words")].tolist() == [-1, -1, -1, 1, 1, 0, -1]
+
+
 def test_quality(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
