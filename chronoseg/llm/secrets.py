@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 BLOCK = 256
 #: Least mean log-likelihood ratio, in nats a character pair, of a random string.
 LEAST_RATIO = 1.0
+#: The same of one without a digit: names in capitals or of joined words stay below.
+LEAST_RATIO_LETTERS = 2.5
 #: Labelled samples: random strings made by rule, and documents (those whose id has the smallest hash) whose words are
 #: the ordinary identifiers.
 RANDOM_STRINGS, ORDINARY_DOCUMENTS = 3000, 500
@@ -98,8 +100,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     exclusive).
 
     kind is a position in KINDS. Patterns match leftmost and without overlap for each kind; matches whose value is too
-    short are dropped after that. A markov span is a run of 20 or more identifier characters with a letter and a digit,
-    likelier random than ordinary by LEAST_RATIO a pair, that meets no other span. Null counts as empty and has no
+    short are dropped after that. A markov span is a run of 20 or more identifier characters with a letter, likelier
+    random than ordinary by LEAST_RATIO a pair (LEAST_RATIO_LETTERS without a digit), that meets no other span. Null counts as empty and has no
     spans; an empty table gives no rows; rows that repeat are rows of their own; other columns are ignored."""
     ratios = ratios if ratios is not None else train_pairs(docs, id_column, text)
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -109,7 +111,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         _spans(t, 1, ACCESS, t.contains("AKIA")),
         _spans(t, 2, HEX, t.rlike(HEX)),
     )
-    rows = rows.withColumn("base", base).withColumn("runs", _spans(t, 3, CANDIDATE, t.rlike(r"(?=[A-Za-z+/_=-]{0,200}[0-9])" + CANDIDATE)))
+    rows = rows.withColumn("base", base).withColumn("runs", _spans(t, 3, CANDIDATE, t.rlike(CANDIDATE)))
     table = F.array(*[F.lit(float(x)) for x in ratios])
 
     def mean_ratio(v: Column) -> Column:
@@ -117,8 +119,9 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return total / (F.length(v) - 1)
 
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    mixed = F.filter("runs", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
-    found = F.filter(F.filter(mixed, free), lambda x: mean_ratio(x["value"]) >= LEAST_RATIO)
+    least = lambda v: F.when(v.rlike("[0-9]"), F.lit(LEAST_RATIO)).otherwise(F.lit(LEAST_RATIO_LETTERS))
+    lettered = F.filter("runs", lambda x: x["value"].rlike("[A-Za-z]"))
+    found = F.filter(F.filter(lettered, free), lambda x: mean_ratio(x["value"]) >= least(x["value"]))
     spans = F.array_sort(F.concat("base", F.when(F.size("runs") > 0, found).otherwise(F.col("runs"))))
     return rows.select(F.col("id").alias(id_column), spans.alias("spans"))
 

@@ -204,6 +204,13 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, texts).limit(0)).count() == 0
 
 
+def test_random_letters_are_secrets(spark):
+    ratios = secrets.train_pairs(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    texts = ["x qZpXLxjVbWNdGRtFKwJHycU y", "", "somelongordinaryword quick/brown/identifiers_stand", "-" * 40 + " " + "1" * 30]
+    rows = secrets.digest(secrets.find_secrets(table(spark, texts), ratios=ratios)).orderBy("doc_id").collect()
+    assert rows[0].spans == "markov:2:25" and not any(r.spans for r in rows[2:])
+
+
 def test_language_mixture(spark):
     r = random.Random(0)
     syllables = {"aa": ["ba", "be", "bi", "bo"], "bb": ["ku", "zo", "xi", "qa"], "cc": ["mé", "né", "lé", "ré"]}
