@@ -8,14 +8,17 @@ pair shares l (for the smaller l of the two). This gives steps that lose no link
    grams in its head links with nothing; most sets end here. Equal sets become one class.
 2. The sets that stay are asked for all their grams. One with fewer than need(n) common grams links with nothing. The
    n - need(n) + 1 rarest grams of the others form the index: per gram, a list of sets by size, with the gram's position.
-3. Lists are read in blocks: from a set on, the blocks from the first on are skipped whose smallest size is out of its
-   reach; of the others, sets whose position leaves too few grams for the overlap that both sizes need, and those whose
-   parity bitmap (one bit flipped for each gram) differs in more bits than linked sets can have grams apart.
-
-Answers of similar sets are reused: in some rounds each set is compared with one set only of the lists it stands in.
-Once it links with that, its component is known from the answers of that set, and the two are never paired again with
-what they have in common; the exact pairs of step 3 are made only between sets of one list that are in different
-components by then. So a group of near copies costs about one comparison for each member, not for each pair.
+3. Lists are in order of size and position, and read in pairs of blocks: those are skipped whose sizes are out of reach of
+   each other, or whose positions leave too few grams for the overlap that both sizes need; of the others, single pairs
+   by the same rules, and those whose parity bitmaps (one bit flipped for each gram) differ in more bits than linked sets
+   can have grams apart.
+
+Answers of similar sets are reused: in rounds each set is compared with one set only of the lists it stands in. Once it
+links with that, its component is known from the answers of that set, and the two are never paired again with what they
+have in common. The rounds end when no set finds a link; step 3 is for sets of one list that are in different components
+by then. Where few of a list can link still, they are verified as pairs, no more than the list has sets; where many can,
+the sets themselves are sent to the list's cell, all overlaps are counted there at once, and only a forest of the links
+leaves it. So neither a group of near copies nor one of texts just below the threshold makes a row for each pair.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cells, column_of, drop, frugal, gram_hashes, pieces, stash, text_buffers, word_hashes, word_spans
-from .components import components
+from .common import attach, cells, column_of, drop, frugal, give_back, gram_hashes, pieces, stash, text_buffers, word_hashes, word_spans
+from .components import components, union_find
 from .shared_keys import lookup, replies_of, shared_keys
 
-#: Rounds in which sets are compared with one other each, before all pairs between components are.
-ROUNDS = 3
-#: Rows of a list that one cell of pairs takes.
-LIST_ROWS = 4096
-#: Sets of a block of a list.
-BLOCK = 64
+#: Rounds, at most, in which sets are compared with one other each, before all that are still apart are.
+ROUNDS = 6
+#: Rows of a list that a block of a cell has.
+LIST_ROWS = 1024
+#: Sets of a block of a list, and grams (columns) of which overlaps are counted at once.
+BLOCK, COLUMNS = 64, 4096
 #: Sets for chunks of the second step, and the number of keys (8 bytes each) up to which a semi-join is broadcast.
 CHUNK_SETS, BROADCAST_KEYS = 500, 1_000_000
 
@@ -221,42 +224,95 @@ def _verify(t: Threshold):
     return run
 
 
-def _pairs(t: Threshold):
-    """Rows of a bucket of cells (gram, cell_a, cell_b, block, rid, n, position, comp) to the pairs of sets that stand in
-    one cell, are in different components, and can link by their sizes and positions. A pair need only be found at its
-    first common gram, and what follows there bounds its overlap."""
+def _able(t: Threshold, i: slice, j: slice, n, rest, comp, block, bits) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two blocks of a list (by size) that can link: by components, cells, sizes, positions, parities."""
+    ni, nj = n[i, None], n[None, j]
+    need = t.both(ni, nj)
+    go = (np.maximum(ni, nj) * t.num <= np.minimum(ni, nj) * t.den) & (np.minimum(rest[i, None], rest[None, j]) >= need) & (comp[i, None] != comp[None, j])
+    if block is not None:
+        go &= block[i, None] != block[None, j]
+    if i == j:
+        go = np.triu(go, 1)
+    x, y = np.nonzero(go)
+    x, y = x + i.start, y + j.start
+    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+    near = apart <= n[x] + n[y] - 2 * t.both(n[x], n[y])
+    return x[near], y[near]
+
+
+def _open(t: Threshold):
+    """Rows of a bucket of cells (gram, cell_a, cell_b, block, rid, n, position, comp) to what is to be verified of each
+    cell's list: of sets in different components that can link, the pairs (a, b), if there are no more than sets in the
+    list; else the sets (a) that stand in any, with the cell, to be compared there.
+
+    Lists are in order of size and then position, and cut to blocks. A pair of blocks is skipped by its smallest sizes and
+    by its latest positions: a pair need only be found at its first common gram, and what follows there bounds its overlap."""
 
     def run(table: pa.Table) -> pa.Table:
         gram, ca, cb, block, rid, n, position, comp = (table.column(x).to_numpy() for x in ("gram", "cell_a", "cell_b", "block", "rid", "n", "position", "comp"))
-        order = np.lexsort((rid, n, cb, ca, gram))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)[order]
+        order = np.lexsort((rid, position, n, cb, ca, gram))
+        every_bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64)[order]
         gram, ca, cb, block, rid, n, position, comp = (x[order] for x in (gram, ca, cb, block, rid, n, position, comp))
         cut = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]))
-        found, held = [np.zeros((0, 2), np.int64)], 0
+        pairs, sets = [np.zeros((0, 2), np.int64)], [np.zeros((0, 4), np.int64)]
         for a, b in zip(cut, np.append(cut[1:], len(gram)), strict=True):
-            sizes, rest = n[a:b], n[a:b] - position[a:b]
-            if b - a < 2 or (comp[a:b] == comp[a]).all():
+            m = b - a
+            if m < 2 or (comp[a:b] == comp[a]).all():
                 continue
-            smallest = sizes[::BLOCK]  # of each block of the list
-            for i in range(b - a - 1):
-                reach = sizes[i] * t.den // t.num
-                stop = min(b - a, BLOCK * int(np.searchsorted(smallest, reach, "right")))
-                others = slice(i + 1, stop)
-                go = (comp[a + i + 1 : a + stop] != comp[a + i]) & (sizes[others] <= reach) & (np.minimum(rest[others], rest[i]) >= t.both(sizes[others], sizes[i]))
-                j = a + i + 1 + np.flatnonzero(go)
-                if ca[a] != cb[a]:
-                    j = j[block[j] != block[a + i]]
-                if len(j):
-                    apart = np.bitwise_count(bits[j] ^ bits[a + i]).sum(1, dtype=np.int64)
-                    j = j[apart <= n[j] + n[a + i] - 2 * t.both(n[j], n[a + i])]
-                if len(j):
-                    found.append(np.stack([np.minimum(rid[a + i], rid[j]), np.maximum(rid[a + i], rid[j])], 1))
-                    held += len(j)
-            if held > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            sizes, rest = n[a:b], n[a:b] - position[a:b]
+            begin = np.arange(0, m, BLOCK)
+            smallest, largest, most = sizes[begin], sizes[np.minimum(begin + BLOCK, m) - 1], np.maximum.reduceat(rest, begin)
+            of = sizes, rest, comp[a:b], block[a:b] if ca[a] != cb[a] else None, every_bits[a:b]
+            found, count, open_ = [], 0, np.zeros(m, bool)
+            for i in range(len(begin)):
+                reached = int(np.searchsorted(smallest, largest[i] * t.den // t.num, "right"))
+                for j in i + np.flatnonzero(np.minimum(most[i], most[i:reached]) >= t.both(smallest[i], smallest[i:reached])):
+                    x, y = _able(t, slice(begin[i], min(begin[i] + BLOCK, m)), slice(begin[j], min(begin[j] + BLOCK, m)), *of)
+                    open_[x] = open_[y] = True
+                    count += len(x)
+                    if count <= m:
+                        found.append(np.stack([rid[a + x], rid[a + y]], 1))
+            if count <= m:
+                pairs += found
+            else:
+                at = a + np.flatnonzero(open_)
+                sets.append(np.stack([rid[at], gram[at], ca[at], cb[at]], 1))
+        pairs, sets = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.concatenate(sets)
+        none = pa.nulls(len(sets), pa.int64())
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.concatenate([pairs[:, 0], sets[:, 0]])),
+                pa.concat_arrays([pa.array(pairs[:, 1]), none]),
+                *(pa.array(np.concatenate([np.zeros(len(pairs), np.int64), sets[:, k]])) for k in (1, 2, 3)),
+            ],
+            ["a", "b", "gram", "cell_a", "cell_b"],
+        )
+
+    return run
+
+
+def _compared(t: Threshold):
+    """The sets of one cell (rid, grams) to a forest of their links: overlaps of all by products of 0-1 matrices, some
+    columns (grams that stand in two sets or more) at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rid, sets = table.column("rid").to_numpy(), [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)[times[gram] > 1]
+        column = (np.cumsum(times > 1) - 1)[gram[times[gram] > 1]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(n), len(n)), np.float32)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+            x = np.zeros((len(n), COLUMNS), np.float32)
+            x[row[part], column[part] - a] = 1
+            both += x @ x.T
+        i, j = np.nonzero(np.triu(t.linked(both.astype(np.int64), n[:, None], n[None, :]), 1))
+        nodes, label = union_find(rid[i], rid[j])
+        give_back()
+        return pa.Table.from_arrays([pa.array(nodes[nodes != label]), pa.array(label[nodes != label])], ["a", "b"])
 
     return run
 
@@ -285,20 +341,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     wanted = stash(first.join(classes.select("rid"), "rid", "left_semi"), "wanted")  # one row of each class
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     # rows that repeat an id and text have the same k and set; a class has one rid
-    sets = stash(rows.select("k", "text").join(near, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(frugal(_full_sets(n)), "rid long, grams binary"), "sets")
-    whole = stash(sets.mapInArrow(frugal(_set_chunks), "chunk long, rids binary, lengths binary, keys binary"), "sets")
-    index = asked(whole, _index(t), "gram long, rid long, n long, position long, bits array<long>", "index")
-    drop(whole)
-    lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    index = stash(attach(index, lists, "gram", index.count()).filter("group_size > 1"), "index")
+    full = stash(rows.select("k", "text").join(near, "k").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(frugal(_full_sets(n)), "rid long, grams binary"), "sets")
+    whole = stash(full.mapInArrow(frugal(_set_chunks), "chunk long, rids binary, lengths binary, keys binary"), "sets")
+    every = asked(whole, _index(t), "gram long, rid long, n long, position long, bits array<long>", "index")
+    several = every.groupBy("gram").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    index = stash(attach(every, several, "gram", every.count()).filter("group_size > 1"), "index")
     postings = index.count()
-    sets = stash(sets.join(index.select("rid").distinct(), "rid", "left_semi"), "sets")
+    sets = stash(full.join(index.select("rid").distinct(), "rid", "left_semi"), "sets")
+    drop(whole, every, full, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
+        """The pairs (stored) that link. A set that stands as b in many pairs is repeated, each copy for some of them."""
+        many = max(500, pairs.count() // 1000)
+        hot = pairs.groupBy("b").count().filter(F.col("count") >= many).select("b", F.ceil(F.col("count") / many).alias("copies"))
+        copies, salt = F.coalesce("copies", F.lit(1)), F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).alias("salt")
+        x, y = sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
+        hot = F.broadcast(hot)  # at most 1000 rows
+        y = y.join(hot, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
+        both = pairs.join(hot, "b", "left").select("a", "b", salt).join(y, ["b", "salt"]).join(x, "a")
         return both.select("a", "b", "x", "y").mapInArrow(frugal(_verify(t)), "a long, b long")
 
-    links = None
+    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
 
     def by_component() -> DataFrame:
@@ -314,21 +377,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         apart = F.aggregate(F.zip_with("bits", "lead.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         tried = tried.filter(apart <= F.col("n") + F.col("lead.m") - 2 * both)
         tried = tried.groupBy(F.col("rid").alias("a"), F.col("lead.b").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-        best = tried.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+        best = stash(tried.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), "tried")
         new = stash(verified(best), "links")
-        drop(at)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        drop(at, best)
+        links = links.unionByName(new)
         if not new.take(1):
             break
-    at = by_component()
-    mixed = at.groupBy("gram").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed")
-    at = at.join(mixed.select("gram"), "gram", "left_semi")
+        labels = components(links)
+    lists = stash(by_component(), "lists")
+    mixed = lists.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("group_size")).filter("low < high")
+    at = attach(lists.drop("group_size"), mixed.select("gram", "group_size"), "gram", postings).filter("group_size IS NOT NULL")
     at = cells(at, "group_size", "rid", LIST_ROWS)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), postings // 200_000)
     at = at.withColumn("bucket", F.pmod(F.xxhash64("gram", "cell_a", "cell_b"), F.lit(buckets)))
-    rest = at.groupBy("bucket").applyInArrow(_pairs(t), "a long, b long").distinct()
-    labels = components(links.unionByName(stash(verified(rest), "links")))
+    rest = stash(at.groupBy("bucket").applyInArrow(_open(t), "a long, b long, gram long, cell_a long, cell_b long"), "open")
+    few = stash(rest.filter("b IS NOT NULL").select("a", "b").distinct(), "tried")
+    many = rest.filter("b IS NULL").select(F.col("a").alias("rid"), "gram", "cell_a", "cell_b").join(sets, "rid")
+    found = many.groupBy("gram", "cell_a", "cell_b").applyInArrow(_compared(t), "a long, b long")
+    labels = components(links.unionByName(stash(verified(few).unionByName(found), "links")))
+    drop(index, sets, lists, rest, few)
 
     roots = classes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("sign", "group_size", "least_id", F.coalesce("label", "rid").alias("root"))
     least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
