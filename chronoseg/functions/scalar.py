@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vec import cosine, once
+
 #: Words that are no keywords.
 STOP_WORDS = ["的", "了", "是", "在", "有", "就", "这", "那", "也", "还", "都", "我", "你", "他", "她", "它", "们", "个", "什么", "这个", "那个", "一个", "没有", "不是", "因为", "所以", "但是"]
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -69,9 +71,16 @@ def keywords(text, k: int = 5, stop: list[str] | None = None) -> Column:
     """The k most frequent words of two characters or more, stop words apart; of equals, the first to appear."""
     stop = STOP_WORDS if stop is None else stop
     words = F.filter(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(stop))
-    once = F.array_distinct(words)
-    ranked = F.transform(once, lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda x: x["w"])
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def ranked(rows: Column) -> Column:
+        """Words sorted by word and place: where each word's run begins, and how long it is."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i)["w"] != F.get(rows, i - 1)["w"]))
+        runs = once(begins, lambda at: F.transform(at, lambda h, j: F.struct((h - F.coalesce(F.get(at, j + 1), F.size(rows))).alias("n"), F.get(rows, h)["i"].alias("i"), F.get(rows, h)["w"].alias("w"))))
+        return F.transform(F.slice(F.array_sort(runs), 1, k), lambda x: x["w"])
+
+    empty = F.array().cast("array<string>")
+    return F.when(F.size(placed) > 0, once(placed, ranked)).otherwise(empty)
 
 
 def trim_to_sentence(text) -> Column:
@@ -86,12 +95,6 @@ def json_object(text, schema: str) -> Column:
     return F.from_json(F.regexp_extract(_c(text), r"(?s)\{.*\}", 0), schema)
 
 
-def letter_vector(text) -> Column:
-    """A deterministic stand-in for a text embedding: how often each letter a to z occurs."""
-    low = F.lower(F.coalesce(_c(text), F.lit("")))
-    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.chr(c), F.lit("")))).cast("double"))
-
-
 def scene_id(n) -> Column:
     return F.format_string("sc_%03d", _c(n))
 
@@ -124,8 +127,6 @@ def profile_or_fallback(text, schema: str, has_image) -> Column:
 def rerank_keywords(words, text_vec, word_vecs, hints, least: float = 0.1, most: int = 8, k: int = 5) -> Column:
     """Keywords by cosine to the text (above `least`, the `most` best), of them those that contain a hint, else all; the
     first k. word_vecs holds a vector for each word."""
-    from .vec import cosine
-
     scored = F.zip_with(_c(words), _c(word_vecs), lambda w, v: F.struct((-cosine(v, _c(text_vec))).alias("s"), w.alias("w")))
     best = F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < -least)), 1, most), lambda x: x["w"])
     hinted = F.filter(best, lambda w: F.exists(_c(hints), lambda h: F.contains(w, h)))

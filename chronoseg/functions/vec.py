@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once; a lambda would compute its expression again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a, b) -> Column:
     """Sum of products; null if either is null."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

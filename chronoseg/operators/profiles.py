@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import letter_vector
+from ..functions.embed import TextEmbedding, hashed_ngrams
 from ..functions.score import chapter_score, event_score
 from .intervals import ordered_concat
 from .sequence import adjacent_groups
@@ -50,20 +50,21 @@ def group_profiles(scenes: DataFrame, by: list[str], order: str = "scene_id") ->
     return out
 
 
-def scene_profiles(scenes: DataFrame) -> DataFrame:
-    """A scene's own values as sets, with the vectors that scores compare."""
+def scene_profiles(scenes: DataFrame, embed: TextEmbedding | None = None) -> DataFrame:
+    """A scene's own values as sets, with the vectors that scores compare (of texts, by embed)."""
+    embed = embed or hashed_ngrams()
     one = lambda c: F.when(F.length(F.col(c)) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
     said = F.substring(F.coalesce("asr_text", F.lit("")), 1, 500)
     return scenes.select(
         V, "scene_id", "start", "end",
-        F.struct(one("environment").alias("environments"), one("topic").alias("topics"), one("characters").alias("characters"), letter_vector("topic").alias("topic_vec"), said.alias("asr"), letter_vector(said).alias("asr_vec")).alias("profile"),
+        F.struct(one("environment").alias("environments"), one("topic").alias("topics"), one("characters").alias("characters"), embed(F.col("topic")).alias("topic_vec"), said.alias("asr"), embed(said).alias("asr_vec")).alias("profile"),
     )
 
 
-def event_groups(scenes: DataFrame, threshold: float = 0.17, visual: DataFrame | None = None, digits: int = 6) -> DataFrame:
+def event_groups(scenes: DataFrame, threshold: float = 0.17, visual: DataFrame | None = None, digits: int = 6, embed: TextEmbedding | None = None) -> DataFrame:
     """Scenes by start with the score to the one before and the event they belong to. visual: video_id, scene_id, visual
     (similarity to the scene before); without it that part is 0."""
-    rows = scene_profiles(scenes)
+    rows = scene_profiles(scenes, embed)
     rows = rows.join(visual, [V, "scene_id"], "left") if visual is not None else rows.withColumn("visual", F.lit(0.0))
     before = F.lag("profile").over(Window.partitionBy(V).orderBy("start", "scene_id"))
     rows = rows.withColumn("before", before)
@@ -71,10 +72,10 @@ def event_groups(scenes: DataFrame, threshold: float = 0.17, visual: DataFrame |
     return adjacent_groups(scored, "start", "score", threshold, "event_id").drop("before", "profile", "visual")
 
 
-def chapter_groups(event_profiles: DataFrame, threshold: float = 0.40, digits: int = 6) -> DataFrame:
+def chapter_groups(event_profiles: DataFrame, threshold: float = 0.40, digits: int = 6, embed: TextEmbedding | None = None) -> DataFrame:
     """Events (group_profiles by event_id) with the score to the one before and the chapter they belong to."""
     fields = ["topics", "environments", "characters", "story_roles", "events", "summary"]
-    rows = event_profiles.withColumn("_p", F.struct(*fields, letter_vector("summary").alias("summary_vec")))
+    rows = event_profiles.withColumn("_p", F.struct(*fields, (embed or hashed_ngrams())(F.col("summary")).alias("summary_vec")))
     rows = rows.withColumn("_b", F.lag("_p").over(Window.partitionBy(V).orderBy("event_id")))
     scored = rows.withColumn("score", F.when(F.col("_b").isNotNull(), F.round(chapter_score("_b", "_p"), digits)))
     return adjacent_groups(scored, "event_id", "score", threshold, "chapter_id").drop("_p", "_b")

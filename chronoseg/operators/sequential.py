@@ -135,14 +135,15 @@ def short_merge(shots: DataFrame, least: int, similar: float = 0.3) -> DataFrame
     return shots.select(V, "shot_id", "start", "end", "embedding").groupBy(V).applyInPandas(run, f"{V} long, scene_id long, shot_ids array<long>, start long, end long")
 
 
-def absorb_fragments(shots: DataFrame, least: int, passes: int = 100, ratio: float | None = None) -> DataFrame:
+def absorb_fragments(shots: DataFrame, least: int, passes: int = 100, ratio: float | None = None, enough: int | None = None) -> DataFrame:
     """shots: video_id, shot_id, scene_id, start, end, embedding. Short scenes (fewer frames than `least`, or than `ratio`
-    of the median scene) join their neighbours; no shot is lost."""
+    of the median scene) join their neighbours; a run of them of `enough` frames (else `least`) stands for itself. No shot
+    is lost."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         pieces, df = _pieces(df, "scene_id")
         short = (lambda ps: float(np.median([p.frames for p in ps])) * ratio) if ratio else (lambda _: least)
-        return _as_groups(df, K.absorb_fragments(pieces, short, least, passes), "scene_id")
+        return _as_groups(df, K.absorb_fragments(pieces, short, enough or least, passes), "scene_id")
 
     return shots.select(V, "shot_id", "scene_id", "start", "end", "embedding").groupBy(V).applyInPandas(run, f"{V} long, scene_id long, shot_ids array<long>, start long, end long")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.embed import TextEmbedding
 from ..operators import graph, intervals, profiles, sequence, sequential, vectors
 from ..params import Params
 
@@ -39,12 +40,12 @@ def spoken_scenes(scenes: DataFrame, segments: DataFrame, params: Params = Param
     return scenes.join(text.select(V, "scene_id", "asr_text"), [V, "scene_id"], "left"), intervals.orphans(segments, timed)
 
 
-def events_and_chapters(scenes: DataFrame, params: Params = Params(), visual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def events_and_chapters(scenes: DataFrame, params: Params = Params(), visual: DataFrame | None = None, embed: TextEmbedding | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiled scenes to events (video_id, event_id, scene_ids, start, end) and chapters with titles."""
-    grouped = profiles.event_groups(scenes, params.event_score, visual).select(V, "scene_id", "event_id")
+    grouped = profiles.event_groups(scenes, params.event_score, visual, embed=embed).select(V, "scene_id", "event_id")
     members = scenes.join(grouped, [V, "scene_id"])
     events = profiles.group_profiles(members, [V, "event_id"])
-    placed = profiles.chapter_groups(events, params.chapter_score)
+    placed = profiles.chapter_groups(events, params.chapter_score, embed=embed)
     chapters = placed.groupBy(V, "chapter_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.sort_array(F.flatten(F.collect_list("scene_ids"))).alias("scene_ids"))
     topics = members.join(placed.select(V, "event_id", "chapter_id"), [V, "event_id"])
     titles = profiles.dominant_value(topics, [V, "chapter_id"], "topic", "scene_id")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scalar
+from . import stepwise_sql as steps
+from .functions import scalar, score
+from .functions.embed import hashed_ngrams
 from .operators import checks, graph, intervals, profiles, sequence, sequential, vectors
 from .operators.sequence import gaussian_kernel
 from .params import Params
@@ -97,9 +99,9 @@ def block_max_cuts(spark, d):
     return sequence.block_max_cuts(fx.frames(spark, d), 40.0).select(V, "cut", "raw_frame", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE {steps.suppressed_blocks(_SCORED, 40.0, 5)} SELECT video_id, cut, raw_frame, round(score, 6) AS score FROM sup")
 def block_max_cuts_suppressed(spark, d):
-    return sequential.block_max_cuts(sequence.cut_scores(fx.frames(spark, d)), 40.0, 5)
+    return sequential.block_max_cuts(sequence.cut_scores(fx.frames(spark, d)), 40.0, 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {fx.FRAMES}, t AS (SELECT video_id, quantile_cont(score, 0.99) AS top FROM fr GROUP BY 1)
@@ -149,9 +151,16 @@ def _runs(spark, d):
     return sequence.stable_runs(smooth, 5)
 
 
-@query(f'WITH {_RUNS} SELECT video_id, "start", "end", false AS fallback FROM runs')
+def _shot_runs(spark, d, size: int):
+    """Frames as shots of `size`, and their stable runs."""
+    f = fx.frames(spark, d).select(V, F.floor(F.col("frame") / size).alias("shot_id"), "frame", "score", (F.col("k") / 100).alias("sharpness"), (F.col("k") % 10 / 10).alias("brightness"))
+    smooth = sequence.gaussian_smooth(f, by=(V, "shot_id")).withColumn("smooth", F.round("smooth", 6))
+    return f, sequence.stable_runs(smooth, 5, by=(V, "shot_id"))
+
+
+@query(f'WITH {steps.key_frames(fx.FRAMES, _KERNEL, 20, 5, 99, 15)} SELECT video_id, shot_id, "start", "end", fallback FROM al')
 def stable_runs(spark, d):
-    return _runs(spark, d)
+    return _shot_runs(spark, d, 20)[1]
 
 
 @query(f'WITH {_RUNS} SELECT video_id, "start", "end" FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start") AS n FROM runs) WHERE n <= 4')
@@ -200,16 +209,16 @@ def min_duration(spark, d):
     return intervals.min_duration(fx.segments(spark, d)).select(V, "seg_id", "start_ms", "end_ms")
 
 
-#: Scenes on every other tile of 15 frames, so that some segments overlap none.
-_TIMED = """tm AS (SELECT video_id, frame // 30 AS scene_id, frame * 100.0::DOUBLE AS scene_start_ms, (frame + 15) * 100.0::DOUBLE AS scene_end_ms FROM fr WHERE frame % 30 = 0),
+#: Scenes of three frames from each sign-up on, so that some segments overlap none and some several.
+_TIMED = """tm AS (SELECT video_id, frame AS scene_id, frame * 100.0::DOUBLE AS scene_start_ms, (frame + 3) * 100.0::DOUBLE AS scene_end_ms FROM fr WHERE event_type = 'signup'),
 sp AS (SELECT * FROM seg WHERE length(trim(text)) > 0),
 pr AS (SELECT sp.video_id, seg_id, scene_id, start_ms, text, least(end_ms, scene_end_ms) - greatest(start_ms, scene_start_ms) AS ov, scene_start_ms FROM sp JOIN tm ON sp.video_id = tm.video_id AND start_ms < scene_end_ms AND scene_start_ms < end_ms),
 asg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_id ORDER BY ov DESC, scene_start_ms, scene_id) AS n FROM pr) WHERE n = 1)"""
 
 
 def _timed(spark, d):
-    f = fx.frames(spark, d).filter("frame % 30 = 0")
-    return f.select(V, F.floor(F.col("frame") / 30).alias("scene_id"), (F.col("frame") * 100.0).alias("scene_start_ms"), ((F.col("frame") + 15) * 100.0).alias("scene_end_ms"))
+    f = fx.frames(spark, d).filter("event_type = 'signup'")
+    return f.select(V, F.col("frame").alias("scene_id"), (F.col("frame") * 100.0).alias("scene_start_ms"), ((F.col("frame") + 3) * 100.0).alias("scene_end_ms"))
 
 
 @query(f"WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED} SELECT video_id, seg_id, scene_id, round(ov, 4) AS overlap_ms FROM asg")
@@ -234,10 +243,12 @@ def scene_text(spark, d):
     return intervals.scene_text(intervals.assign_by_overlap(fx.segments(spark, d), _timed(spark, d)))
 
 
-@query("SELECT 0 AS bad WHERE false")
+#: Planted: assigned segments that say w13 are lost.
+@query(f"""WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED}, lost AS (SELECT video_id, count(*) AS k FROM asg WHERE text = 'w13' GROUP BY 1), s AS (SELECT video_id, count(*) AS n FROM sp GROUP BY 1), a AS (SELECT video_id, count(*) AS na FROM asg GROUP BY 1)
+SELECT video_id, n, na - k AS n_assigned, n - na AS n_orphans FROM s JOIN lost USING (video_id) JOIN a USING (video_id)""")
 def assignment_violations(spark, d):
     segments, timed = fx.segments(spark, d), _timed(spark, d)
-    return checks.assignment_totals(segments, intervals.assign_by_overlap(segments, timed), intervals.orphans(segments, timed)).select(F.lit(0).alias("bad"))
+    return checks.assignment_totals(segments, intervals.assign_by_overlap(segments, timed).filter("text <> 'w13'"), intervals.orphans(segments, timed))
 
 
 _SPOKEN = """st AS (SELECT shots.*, CASE WHEN shot_id % 4 = 0 THEN ' ' ELSE 's' || shot_id END AS text FROM shots)"""
@@ -251,17 +262,17 @@ def context_window_text(spark, d):
     return intervals.context_text(shots, 1.5, fx.FPS).select(V, "shot_id", "context", "text_valid")
 
 
-@query(f"""WITH {fx.FRAMES}, ev AS (SELECT video_id, event_id, frame AS center FROM fr WHERE frame % 50 = 0),
+@query(f"""WITH {fx.FRAMES}, ev AS (SELECT video_id, event_id, frame AS center FROM fr WHERE score > 80),
 n AS (SELECT ev.*, fr.frame, row_number() OVER (PARTITION BY ev.video_id, ev.event_id ORDER BY fr.frame) AS n FROM ev JOIN fr ON fr.video_id = ev.video_id AND abs(fr.frame - center) <= 20)
 SELECT video_id, event_id, center, frame, n FROM n WHERE n <= 30""")
 def window_lookup(spark, d):
     f = fx.frames(spark, d)
-    return intervals.frames_near(f.filter("frame % 50 = 0").select(V, "event_id", F.col("frame").alias("center")), f, 20, 30).select(V, "event_id", "center", "frame", F.col("n").cast("long").alias("n"))
+    return intervals.frames_near(f.filter("score > 80").select(V, "event_id", F.col("frame").alias("center")), f, 20, 30).select(V, "event_id", "center", "frame", F.col("n").cast("long").alias("n"))
 
 
-@query(f"""WITH {_SHOTS} SELECT s.video_id, f.frame AS cut, s."start", s."end" FROM shots s JOIN fr f ON f.video_id = s.video_id AND f.frame > s."start" AND f.frame < s."end" AND f.frame % 5 = 0 WHERE s."end" - s."start" + 1 > 12""")
+@query(f"""WITH {_SHOTS} SELECT s.video_id, f.frame AS cut, s."start", s."end" FROM shots s JOIN fr f ON f.video_id = s.video_id AND f.frame > s."start" AND f.frame < s."end" AND f.event_type = 'click' WHERE s."end" - s."start" + 1 > 12""")
 def reinsert_cuts(spark, d):
-    return intervals.reinsert_cuts(_shots(spark, d), fx.frames(spark, d).filter("frame % 5 = 0").select(V, F.col("frame").alias("cut")), 12)
+    return intervals.reinsert_cuts(_shots(spark, d), fx.frames(spark, d).filter("event_type = 'click'").select(V, F.col("frame").alias("cut")), 12)
 
 
 @query(f"""WITH {fx.FRAMES}, {fx.SCENES}, b AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY scene_id) - 1) // 4 AS batch, nullif(asr_text, '') AS v FROM sc)
@@ -445,8 +456,9 @@ def dominant_topic(spark, d):
     return profiles.dominant_value(_grouped(spark, d), [V, "group_id"], "topic", "scene_id", 4)
 
 
-_LETTERS = "list_transform(range(97, 123), lambda c: CAST(len(lower({t})) - len(replace(lower({t}), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
-_COS = "CASE WHEN list_sum(list_transform({a}, lambda q: q * q)) * list_sum(list_transform({b}, lambda q: q * q)) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, 27), lambda i: {a}[i] * {b}[i])) / (sqrt(list_sum(list_transform({a}, lambda q: q * q))) * sqrt(list_sum(list_transform({b}, lambda q: q * q)))) END"
+_GRAMS = "list_transform(list_filter(list_transform(range(1, greatest(len({t}) - 2, 1) + 1), lambda i: substr(lower({t}), i, 3)), lambda g: g <> ''), lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 64)"
+_LETTERS = "list_transform(range(0, 64), lambda b: CAST(len(list_filter(" + _GRAMS + ", lambda x: x = b)) AS DOUBLE))"
+_COS = "CASE WHEN list_sum(list_transform({a}, lambda q: q * q)) * list_sum(list_transform({b}, lambda q: q * q)) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i])) / (sqrt(list_sum(list_transform({a}, lambda q: q * q))) * sqrt(list_sum(list_transform({b}, lambda q: q * q)))) END"
 _EVENTS = f"""{fx.FRAMES}, {fx.SCENES}, lt AS (SELECT *, {_LETTERS.format(t="topic")} AS tv, {_LETTERS.format(t="asr_text")} AS av FROM sc),
 lg AS (SELECT *, lag(topic) OVER w AS pt, lag(tv) OVER w AS ptv, lag(asr_text) OVER w AS pa, lag(av) OVER w AS pav, lag(characters) OVER w AS pc, lag(environment) OVER w AS pe FROM lt WINDOW w AS (PARTITION BY video_id ORDER BY "start", scene_id)),
 es AS (SELECT *, CASE WHEN pt IS NOT NULL THEN round(0.35 * (CASE WHEN pt <> '' AND topic <> '' THEN {_COS.format(a="ptv", b="tv")} ELSE 0.1 END) + 0.2 * (CASE WHEN pc = characters THEN 1.0 ELSE 0.0 END)
@@ -516,10 +528,10 @@ def even_subsample(spark, d):
     return rows.select(V, "g", sequence.even_subsample(F.col("a"), 12).alias("picked"))
 
 
-@query(f"WITH {fx.FRAMES} SELECT video_id, frame, round(score, 6) AS score FROM fr WHERE frame % 37 = 3")
+@query(f"WITH {fx.FRAMES} SELECT video_id, frame, round(score, 6) AS score FROM fr WHERE score > 70")
 def selected_frames(spark, d):
     f = fx.frames(spark, d)
-    return readers.selected_frames(f, f.filter("frame % 37 = 3").select(V, "frame")).select(V, "frame", F.round("score", 6).alias("score"))
+    return readers.selected_frames(f, f.filter("score > 70").select(V, "frame")).select(V, "frame", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {fx.FRAMES} SELECT video_id, frame, list(event_id ORDER BY event_id) AS events, count(*) AS n FROM (SELECT video_id, event_id, unnest([frame // 10 * 10, frame // 10 * 10 + 5]) AS frame FROM fr) GROUP BY 1, 2")
@@ -539,9 +551,58 @@ def skeleton_documents(spark, d):
     return docs.select(V, "total", F.transform("shots", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["range"]["start"].cast("string"), F.lit("-"), s["range"]["end"].cast("string"))).alias("shots"))
 
 
-@query("SELECT 0 AS bad WHERE false")
+#: Planted in some videos: the second shot is missing, the first begins late, the last ends late.
+@query(f"""WITH {_SHOTS}, p AS (SELECT video_id, CASE WHEN video_id = 1 AND shot_id = 0 THEN "start" + 1 ELSE "start" END AS s, CASE WHEN video_id = 2 THEN "end" + (lead(shot_id) OVER (PARTITION BY video_id ORDER BY shot_id) IS NULL)::INT ELSE "end" END AS e, shot_id FROM shots)
+SELECT video_id, total, min(s) AS first, max(e) AS last FROM p JOIN videos USING (video_id) WHERE NOT (video_id = 0 AND shot_id = 1) GROUP BY 1, 2 HAVING min(s) <> 0 OR max(e) <> total - 1 OR sum(e - s + 1) <> total""")
 def shot_tiling_violations(spark, d):
-    return checks.not_tiling(_shots(spark, d), fx.videos(spark, d)).select(F.lit(0).alias("bad"))
+    late = F.lead("shot_id").over(Window.partitionBy(V).orderBy("shot_id")).isNull().cast("int")
+    shots = _shots(spark, d).withColumns({"start": F.when((F.col(V) == 1) & (F.col("shot_id") == 0), F.col("start") + 1).otherwise(F.col("start")), "end": F.when(F.col(V) == 2, F.col("end") + late).otherwise(F.col("end"))})
+    return checks.not_tiling(shots.filter("NOT (video_id = 0 AND shot_id = 1)"), fx.videos(spark, d)).select(V, "total", "first", "last")
+
+
+@query(f'WITH {_SHOTS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY shot_id) - 1 AS expected FROM shots WHERE "end" - "start" >= 4) SELECT video_id, shot_id, expected FROM k WHERE shot_id <> expected')
+def gaps_in_ids(spark, d):
+    return checks.gaps_in_ids(_shots(spark, d).filter("end - start >= 4"), "shot_id")
+
+
+#: Groups of three shots; planted: long groups also own the shot after them, short ones lack their first and end late.
+_OWNED = f"""{_SHOTS}, g3 AS (SELECT video_id, shot_id // 3 AS scene_id, list(shot_id ORDER BY shot_id) AS ids, min("start") AS "start", max("end") AS "end" FROM shots GROUP BY 1, 2),
+gp AS (SELECT video_id, scene_id, "start", CASE WHEN "end" - "start" < 20 THEN "end" + 1 ELSE "end" END AS "end", CASE WHEN "end" - "start" > 30 THEN list_append(ids, list_max(ids) + 1) WHEN "end" - "start" < 20 THEN ids[2:] ELSE ids END AS shot_ids FROM g3),
+mb AS (SELECT video_id, scene_id, unnest(shot_ids) AS shot_id FROM gp)"""
+
+
+def _owned(spark, d):
+    groups = _shots(spark, d).groupBy(V, F.floor(F.col("shot_id") / 3).alias("scene_id")).agg(F.sort_array(F.collect_list("shot_id")).alias("ids"), F.min("start").alias("start"), F.max("end").alias("end"))
+    size = F.col("end") - F.col("start")
+    ids = F.when(size > 30, F.concat("ids", F.array(F.array_max("ids") + 1))).when(size < 20, F.slice("ids", 2, 3)).otherwise(F.col("ids"))
+    return groups.select(V, "scene_id", "start", F.when(size < 20, F.col("end") + 1).otherwise(F.col("end")).alias("end"), ids.alias("shot_ids"))
+
+
+@query(f"WITH {_OWNED} SELECT video_id, shot_id AS member, count(*) AS count FROM mb GROUP BY 1, 2 HAVING count(*) > 1")
+def owned_twice(spark, d):
+    return checks.owned_twice(_owned(spark, d))
+
+
+@query(f"WITH {_OWNED} SELECT video_id, shot_id FROM shots WHERE NOT EXISTS (SELECT 1 FROM mb WHERE mb.video_id = shots.video_id AND mb.shot_id = shots.shot_id)")
+def not_owned(spark, d):
+    return checks.not_owned(_shots(spark, d), "shot_id", _owned(spark, d))
+
+
+@query(f"""WITH {_OWNED}, r AS (SELECT mb.video_id, scene_id, min("start") AS s, max("end") AS e FROM mb JOIN shots USING (video_id, shot_id) GROUP BY 1, 2)
+SELECT gp.video_id, gp.scene_id, "start", "end", s, e FROM gp LEFT JOIN r USING (video_id, scene_id) WHERE s IS NULL OR e <> "end" OR s <> "start" """)
+def wrong_range(spark, d):
+    return checks.wrong_range(_owned(spark, d), _shots(spark, d))
+
+
+@query(f"""WITH {fx.FRAMES} SELECT event_id, CASE WHEN k < 1000 THEN 'sc_' || lpad(CAST(k AS VARCHAR), 3, '0') END AS scene, 'clip.' || k AS base,
+  round(0.6 * score / 100 + 0.4 * k / 100, 9) AS change, round(0.5 / (1 + score) + 0.3 * (k / 100) + 0.2 / (1 + frame), 9) AS frame_old FROM fr""")
+def names_and_scores(spark, d):
+    f = fx.frames(spark, d)
+    path = F.concat(F.lit("/a.b/"), F.col("event_type"), F.lit("/clip."), F.col("k").cast("string"), F.lit(".mp4"))
+    return f.select(
+        "event_id", scalar.scene_id("k").alias("scene"), scalar.base_name(path).alias("base"), F.round(score.change_score(F.col("score") / 100, F.col("k") / 100), 9).alias("change"),
+        F.round(score.frame_score_old("score", F.col("k") / 100, "frame"), 9).alias("frame_old"),
+    )
 
 
 @query(f"""WITH {_SHOTS} SELECT video_id, count(*) FILTER (WHERE shot_id % 50 = 7) AS n FROM shots GROUP BY 1 HAVING count(*) FILTER (WHERE shot_id % 50 = 7) > 0""")
@@ -564,17 +625,17 @@ def verify_counts(spark, d):
     return checks.verify_counts(plan, got, [V, "shot_id"])
 
 
-@query(f"""WITH {fx.FRAMES}, a AS (SELECT video_id, frame, 'peak' AS reason, round(score, 4) AS score FROM fr WHERE score > 60), b AS (SELECT video_id, frame, 'stable' AS reason, round(score, 4) AS score FROM fr WHERE frame % 3 = 0)
+@query(f"""WITH {fx.FRAMES}, a AS (SELECT video_id, frame, 'peak' AS reason, round(score, 4) AS score FROM fr WHERE score > 60), b AS (SELECT video_id, frame, 'stable' AS reason, round(score, 4) AS score FROM fr WHERE event_type = 'view')
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.video_id = b.video_id AND a.frame = b.frame)""")
 def merge_candidates(spark, d):
-    f = fx.frames(spark, d).select(V, "frame", F.round("score", 4).alias("score"))
+    f = fx.frames(spark, d).select(V, "frame", "event_type", F.round("score", 4).alias("score"))
     kind = lambda rows, name: rows.select(V, "frame", F.lit(name).alias("reason"), "score")
-    return sequence.merge_candidates(kind(f.filter("score > 60"), "peak"), kind(f.filter("frame % 3 = 0"), "stable"))
+    return sequence.merge_candidates(kind(f.filter("score > 60"), "peak"), kind(f.filter("event_type = 'view'"), "stable"))
 
 
-@query(f"WITH {_CUTS} SELECT video_id, cut FROM cuts UNION SELECT video_id, frame FROM fr WHERE frame % 40 = 20")
+@query(f"WITH {_CUTS} SELECT video_id, cut FROM cuts UNION SELECT video_id, frame FROM fr WHERE event_type = 'purchase'")
 def add_cuts(spark, d):
-    return sequence.add_cuts(_cuts(spark, d), fx.frames(spark, d).filter("frame % 40 = 20").select(V, F.col("frame").alias("cut")))
+    return sequence.add_cuts(_cuts(spark, d), fx.frames(spark, d).filter("event_type = 'purchase'").select(V, F.col("frame").alias("cut")))
 
 
 @query(f"WITH {fx.FRAMES}, {fx.SCENES} SELECT video_id, scene_id, (topic <> '' AND asr_text <> '') AS both, (topic <> '' OR asr_text <> '') AS either FROM sc")
@@ -591,116 +652,159 @@ def profile_fallback(spark, d):
     return rows.select("event_id", "p.topic", "p.visual_summary", F.col("p._raw").alias("raw"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in scalar.STOP_WORDS)
+_RANKED = f"""w AS (SELECT conv_id, turn, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS ws FROM conversations),
+u AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w), c AS (SELECT conv_id, turn, word, count(*) AS n, min(pos) AS p FROM u GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, p) AS r FROM c),
+tg AS (SELECT conv_id, turn, {_GRAMS.format(t="text")} AS g FROM w), wg AS (SELECT conv_id, turn, word, {_GRAMS.format(t="word")} AS g FROM k WHERE r <= 12),
+tv AS (SELECT conv_id, turn, list_transform(range(0, 64), lambda b: len(list_filter(g, lambda x: x = b))) AS v FROM tg), wv AS (SELECT conv_id, turn, word, list_transform(range(0, 64), lambda b: len(list_filter(g, lambda x: x = b))) AS v FROM wg),
+sm AS (SELECT conv_id, turn, word, {steps.dot("wv.v", "tv.v")} / (sqrt({steps.dot("wv.v", "wv.v")}) * sqrt({steps.dot("tv.v", "tv.v")})) AS s FROM wv JOIN tv USING (conv_id, turn)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, word) AS r, word LIKE '%th%' OR word LIKE '%re%' AS hinted FROM sm WHERE s > 0.1),
+hs AS (SELECT *, bool_or(hinted) OVER (PARTITION BY conv_id, turn) AS any_hint FROM bs WHERE r <= 8),
+fs AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r) AS q FROM hs WHERE hinted OR NOT any_hint)"""
+
+
+@query(f"WITH {_RANKED} SELECT conv_id, turn, coalesce(list(word ORDER BY q) FILTER (WHERE q <= 5), []) AS words FROM w LEFT JOIN fs USING (conv_id, turn) GROUP BY 1, 2")
 def rerank_keywords(spark, d):
+    embed = hashed_ngrams()
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("words", scalar.keywords("text", 12))
-    rows = rows.withColumns({"tv": scalar.letter_vector("text"), "wv": F.transform("words", lambda w: scalar.letter_vector(w)), "hints": F.array(F.lit("th"), F.lit("re"))})
+    rows = rows.withColumns({"tv": embed(F.col("text")), "wv": F.transform("words", embed), "hints": F.array(F.lit("th"), F.lit("re"))})
     return rows.select("conv_id", "turn", scalar.rerank_keywords("words", "tv", "wv", "hints").alias("words"))
 
 
-# Each step of these depends on the one before, so SQL can't express them; the tests compare them with plain loops.
+# Each step of these depends on the one before; their SQL carries the state through recursive tables.
 
 
-@query()
+@query(steps.min_segment(_CUTS, "raw", 12))
 def min_segment_filter(spark, d):
     return sequential.min_segment(sequence.threshold_cuts(fx.frames(spark, d), CUT), 12)
 
 
-@query()
+@query(steps.greedy_nms(fx.FRAMES, 0.3, 12, 30, 72, 200))
 def greedy_nms(spark, d):
     norm = sequence.normalize_by_percentile(fx.frames(spark, d))
     peaks = sequence.local_maxima(norm, 0.3, 12, "norm").join(fx.videos(spark, d), V)
-    return sequential.greedy_nms(peaks, 30)
+    return sequential.greedy_nms(peaks, 30).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {steps.peaks(fx.FRAMES + ', sig AS (SELECT video_id, frame, score AS x FROM fr)', 30)} SELECT video_id, frame, round(x, 6) AS score FROM peaks")
 def peak_candidates(spark, d):
     return sequential.peak_candidates(fx.frames(spark, d), 30)
 
 
-@query()
+_AVERAGE = f"""{fx.FRAMES}, an AS (SELECT video_id, greatest(5, least(31, CAST(round_even(count(*) * 0.06, 0) AS INTEGER))) AS s FROM fr GROUP BY 1),
+az AS (SELECT video_id, s + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END AS s FROM an),
+sig AS (SELECT a.video_id, a.frame, round(sum(b.score) / any_value(s), 6) AS x FROM fr a JOIN az USING (video_id) JOIN fr b ON b.video_id = a.video_id AND b.frame BETWEEN a.frame - s // 2 AND a.frame + s // 2 GROUP BY 1, 2)"""
+
+
+@query(steps.peak_zones(_AVERAGE, 30, 15, 3))
 def peak_zones(spark, d):
-    return sequential.peak_zones(sequence.moving_average(fx.frames(spark, d)))
+    return sequential.peak_zones(sequence.moving_average(fx.frames(spark, d)).withColumn("smooth", F.round("smooth", 6)))
 
 
-@query()
+@query(steps.ema_boundaries(fx.VECTORS, 0.1, 0.9))
 def ema_boundaries(spark, d):
     return sequential.ema_boundaries(fx.vectors(spark, d), 0.1)
 
 
+#: Vectors as shots of 20 to 60 frames that tile their video; the labels set the bounds.
+_SHOT_VECTORS = f"""{fx.VECTORS}, sb AS (SELECT vec.*, u, shot_id * 40 + vec.label % 3 * 10 AS "start" FROM vec JOIN un USING (video_id, shot_id)),
+sv AS (SELECT video_id, shot_id, e, u, "start", coalesce(lead("start") OVER (PARTITION BY video_id ORDER BY shot_id), "start" + 40) - 1 AS "end" FROM sb)"""
+
+
 def _shot_vectors(spark, d):
-    v = fx.vectors(spark, d)
-    return v.select(V, "shot_id", (F.col("shot_id") * 40).alias("start"), (F.col("shot_id") * 40 + F.when(F.col("shot_id") % 3 == 0, 39).otherwise(39)).alias("end"), "embedding", "frame", "label")
+    v = fx.vectors(spark, d).withColumn("start", F.col("shot_id") * 40 + F.col("label") % 3 * 10)
+    end = F.coalesce(F.lead("start").over(Window.partitionBy(V).orderBy("shot_id")), F.col("start") + 40) - 1
+    return v.select(V, "shot_id", "start", end.alias("end"), "embedding", "frame", "label")
 
 
-@query()
+@query(steps.leader_dedup(fx.VECTORS, 8, 0.2))
 def leader_dedup(spark, d):
     return sequential.leader_dedup(fx.vectors(spark, d).withColumn("shot_id", F.floor(F.col("frame") / 8)), 0.2)
 
 
-@query()
+@query(steps.content_dedup(fx.VECTORS, 8, 0.03))
 def content_dedup(spark, d):
     rows = fx.vectors(spark, d).withColumns({"shot_id": F.floor(F.col("frame") / 8), "score": (F.col("frame") * 7 % 5).cast("double")})
     return sequential.content_dedup(rows, 0.03)
 
 
-@query()
+@query(steps.short_merge(_SHOT_VECTORS, 45, 0.02))
 def short_merge(spark, d):
-    return sequential.short_merge(_shot_vectors(spark, d), 60, 0.1)
+    return sequential.short_merge(_shot_vectors(spark, d), 45, 0.02)
 
 
-@query()
+def _members(scene: str) -> str:
+    return f"""{_SHOT_VECTORS}, mb AS (SELECT video_id, shot_id, CAST({scene} AS BIGINT) AS scene_id, "start", "end", u AS v FROM sv)"""
+
+
+@query(steps.absorb_fragments(_members("shot_id // 2"), "mb", "80", "150", steps.MEAN_COSINE))
 def fragment_absorb(spark, d):
-    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.col("shot_id") / 2)), 100)
+    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.col("shot_id") / 2)), 80, enough=150)
 
 
-@query()
+@query(steps.absorb_fragments(_members("floor(sqrt(shot_id))"), "mb", "list_aggregate(list_transform(p, lambda z: z.e - z.s + 1), 'median') * 0.9", "100", steps.MEAN_COSINE))
 def fragment_absorb_by_median(spark, d):
-    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.sqrt(F.col("shot_id")))), 100, ratio=0.35)
+    return sequential.absorb_fragments(_shot_vectors(spark, d).withColumn("scene_id", F.floor(F.sqrt(F.col("shot_id")))), 100, ratio=0.9)
+
+
+_WORDED = f"""{fx.FRAMES}, {fx.SCENES}, mb AS (SELECT video_id, scene_id AS shot_id, scene_id, "start", CASE WHEN story_role = 'role1' THEN "start" + 1 ELSE "end" END AS "end",
+  list_distinct([environment, event]) AS v FROM sc)"""
 
 
-@query()
+@query(steps.absorb_fragments(_WORDED, "mb", "list_aggregate(list_transform(p, lambda z: z.e - z.s + 1), 'median') * 0.35", "least_enough", steps.COMMON_WORDS).replace("least_enough", "(SELECT median(e - s + 1) * 0.35 FROM sn WHERE sn.video_id = r0.video_id)"))
 def fragment_absorb_by_words(spark, d):
     scenes = fx.scenes(spark, d).withColumn("words", scalar.keywords("visual_summary"))
-    size = F.when(F.col("scene_id") % 4 == 0, F.col("start") + 1).otherwise(F.col("end"))
-    rows = scenes.select(V, F.col("scene_id").alias("shot_id"), "scene_id", "start", size.alias("end"), "words")
+    end = F.when(F.col("story_role") == "role1", F.col("start") + 1).otherwise(F.col("end"))
+    rows = scenes.select(V, F.col("scene_id").alias("shot_id"), "scene_id", "start", end.alias("end"), "words")
     return sequential.absorb_by_words(rows)
 
 
-@query()
+@query(steps.best_pair_merge(_SHOT_VECTORS, 0.1))
 def best_pair_merge(spark, d):
     return sequential.best_pair_merge(_shot_vectors(spark, d), 0.1)
 
 
-@query()
+@query(steps.shortest_first(_SHOTS, 20))
 def shortest_first(spark, d):
     return sequential.shortest_first(_shots(spark, d), 20)
 
 
-@query()
+@query(steps.average_linkage(fx.VECTORS, 0.25))
 def hac(spark, d):
     return sequential.hac(fx.vectors(spark, d))
 
 
-@query()
+@query(steps.density_frames(fx.VECTORS, 25, 1.2, 2, 6))
 def density_frames(spark, d):
     return sequential.density_frames(fx.vectors(spark, d).withColumn("scene_id", F.floor(F.col("frame") / 25)), 1.2)
 
 
-@query()
+@query(f"""WITH {steps.key_frames(fx.FRAMES, _KERNEL, 100, 5, 4, 15)} SELECT video_id, shot_id, "start", "end", arg_max(frame, struct_pack(v := value, f := -frame)) AS frame, round(max(value), 6) AS value FROM vl GROUP BY 1, 2, 3, 4""")
 def key_frames(spark, d):
-    f = fx.frames(spark, d).select(V, F.floor(F.col("frame") / 100).alias("shot_id"), "frame", "score", (F.col("k") / 100).alias("sharpness"), (F.col("k") % 10 / 10).alias("brightness"))
-    smooth = sequence.gaussian_smooth(f, by=(V, "shot_id"))
-    runs = sequence.first_runs(sequence.stable_runs(smooth, 5, by=(V, "shot_id")), 4, by=(V, "shot_id"))
-    return sequential.key_frames(f, runs.select(V, "shot_id", "start", "end"))
+    f, runs = _shot_runs(spark, d, 100)
+    runs = sequence.first_runs(runs, 4, by=(V, "shot_id"))
+    return sequential.key_frames(f, runs.select(V, "shot_id", "start", "end")).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(steps.greedy_nms(fx.FRAMES, 0.3, 12, 30, 72, 200))
 def signal_events(spark, d):
-    return pipelines.signal_events(fx.frames(spark, d), Params(cut_threshold=40.0, fps=fx.FPS))[1]
+    return pipelines.signal_events(fx.frames(spark, d), Params(cut_threshold=40.0, fps=fx.FPS))[1].withColumn("score", F.round("score", 6))
+
+
+@query(steps.min_segment(steps.suppressed_blocks(_SCORED, 40.0, 5) + ", sc AS (SELECT DISTINCT sup.video_id, cut, total FROM sup JOIN videos USING (video_id))", "sc", 10))
+def signal_cuts(spark, d):
+    return pipelines.signal_events(fx.frames(spark, d), Params(cut_threshold=40.0, fps=fx.FPS))[0]
+
+
+_FRAGMENTED = f"""{_RUNS_OF}, {_SHOT_VECTORS.removeprefix(fx.VECTORS + ", ")}, rr AS (SELECT runs.video_id, shot_id, run, u FROM runs JOIN un USING (video_id, shot_id)),
+pq AS (SELECT a.video_id, a.run, a.shot_id AS i, b.shot_id AS j, round({_DOT.format(a="a.u", b="b.u")}, 9) AS sim FROM rr a JOIN rr b ON a.video_id = b.video_id AND a.run = b.run AND a.shot_id < b.shot_id),
+sq AS (SELECT video_id, run, round(avg(sim), 9) AS mean, round(quantile_cont(sim, 0.1), 9) AS p10, arg_min(j, struct_pack(s := sim, i := i, j := j)) FILTER (WHERE sim < 1) AS j FROM pq GROUP BY 1, 2),
+pt AS (SELECT rr.video_id, shot_id, CASE WHEN NOT (mean > 0.1 AND p10 > 0.0) AND shot_id >= j THEN j ELSE run END AS part FROM rr LEFT JOIN sq USING (video_id, run)),
+mb AS (SELECT pt.video_id, shot_id, dense_rank() OVER (PARTITION BY pt.video_id ORDER BY part) - 1 AS scene_id, "start", "end", sv.u AS v FROM pt JOIN sv USING (video_id, shot_id))"""
 
 
-@query()
+@query(steps.absorb_fragments(_FRAGMENTED, "mb", "72", "72", steps.MEAN_COSINE))
 def scenes_without_fragments(spark, d):
     v = fx.vectors(spark, d)
     shots = _shot_vectors(spark, d).withColumn("representative_frame", F.col("start"))

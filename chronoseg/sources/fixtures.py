@@ -35,11 +35,11 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles of scenes of eight frames each."""
-    f = frames(spark, d).filter("frame % 8 = 0")
+    """A scene of eight frames for each event, with its profile."""
+    f = frames(spark, d)
     named = lambda p, m: F.concat(F.lit(p), (F.col("k") % m).cast("string"))
     return f.select(
-        "video_id", F.floor(F.col("frame") / 8).alias("scene_id"), F.col("frame").alias("start"), (F.col("frame") + 7).alias("end"),
+        "video_id", F.col("frame").alias("scene_id"), (F.col("frame") * 8).alias("start"), (F.col("frame") * 8 + 7).alias("end"),
         F.col("event_type").alias("environment"), named("hero", 3).alias("characters"), named("act", 4).alias("event"), named("role", 2).alias("story_role"),
         F.when(F.col("k") % 11 == 0, F.lit("")).otherwise(F.element_at(F.array(*[F.lit(x) for x in TOPICS]), F.col("k") % 5 + 1)).alias("topic"),
         F.concat_ws(" ", F.col("event_type"), named("act", 4)).alias("visual_summary"),
@@ -57,6 +57,6 @@ VECTORS = f"""vec AS (SELECT vec_id // {VIDEO} AS video_id, vec_id AS shot_id, C
 un AS (SELECT video_id, shot_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM vec)"""
 SEGMENTS = """seg AS (SELECT video_id, event_id AS seg_id, frame * 100 AS start_ms, frame * 100 + CAST(floor(score * 40) AS BIGINT) AS end_ms,
   CASE WHEN k % 10 = 0 THEN '  ' ELSE 'w' || k END AS text FROM fr WHERE event_type = 'view')"""
-SCENES = """sc AS (SELECT video_id, frame // 8 AS scene_id, frame AS "start", frame + 7 AS "end", event_type AS environment, 'hero' || (k % 3) AS characters,
+SCENES = """sc AS (SELECT video_id, frame AS scene_id, frame * 8 AS "start", frame * 8 + 7 AS "end", event_type AS environment, 'hero' || (k % 3) AS characters,
   'act' || (k % 4) AS event, 'role' || (k % 2) AS story_role, CASE WHEN k % 11 = 0 THEN '' ELSE ['harbour', 'market', 'storm', 'journey', 'feast'][k % 5 + 1] END AS topic,
-  event_type || ' act' || (k % 4) AS visual_summary, CASE WHEN k % 7 = 0 THEN '' ELSE 'said ' || event_type END AS asr_text FROM fr WHERE frame % 8 = 0)"""
+  event_type || ' act' || (k % 4) AS visual_summary, CASE WHEN k % 7 = 0 THEN '' ELSE 'said ' || event_type END AS asr_text FROM fr)"""
