@@ -8,8 +8,9 @@ Search. Each shard's distinct snippets (twice, if several documents have them) f
 transform in a wavelet matrix of packed bits. Every snippet streams through backward search, and the spans of 35 words
 or more whose interval holds more than one row are reported, and carried back to all documents that have the snippet.
 
-Anchors with more than HOT distinct snippets (the edges of a passage that thousands of texts share) would make a shard
-of any size, and nearly all their windows are unique. Their windows are counted by 128-bit digest instead.
+An anchor with more distinct snippets than a shard should have (the edges of a passage that thousands of texts share) has
+its snippets cut further, to their windows, and each distinct window is a snippet of its own that its digest routes: so
+these are spread evenly over the same shards and searched in the same indexes, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .shared_keys import lookup, replies_of, shared_keys
 
 WINDOW = 35
 ANCHOR = 12
-#: Distinct snippets of an anchor beyond which its windows are counted by digest.
-HOT = 500
+#: Distinct snippets of an anchor beyond which they are cut to windows: about as many as a shard has.
+MOST_SNIPPETS = 4096
 #: Words of a shard's snippets, about.
 SHARD_WORDS = 1 << 19
 _CHUNK = "chunk long, docs binary, keys binary, snippets binary, firsts binary, lasts binary, of binary"
@@ -113,7 +114,8 @@ def _occurrences(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _cut(window: int):
-    """Rows (text, wanted: array of snippets) to the words of each snippet, or, of a hot one, its windows' digests."""
+    """Rows (text, wanted: array of snippets) to the words of each snippet or, if it is to be cut, of each of its windows,
+    with the window's offset and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,30 +132,28 @@ def _cut(window: int):
                     for w in wanted[i]:
                         f, l = base + w["first"], base + w["last"]
                         if not w["hot"]:
-                            rows.append((w["anchor"], w["snippet"], w["n"], words[f : l + window].astype("<u8").tobytes(), None, None))
+                            rows.append((w["anchor"], w["snippet"], w["n"], words[f : l + window].astype("<u8").tobytes(), None, None, None))
                             continue
                         if windows is None:
                             windows, twice = gram_hashes(words, window).view(np.int64), gram_hashes(mix(words), window).view(np.int64)
-                        rows += [(w["anchor"], w["snippet"], w["n"], None, j - f, (int(windows[j]), int(twice[j]))) for j in range(f, l + 1)]
+                        rows += [(w["anchor"], w["snippet"], w["n"], words[j : j + window].astype("<u8").tobytes(), j - f, int(windows[j]), int(twice[j])) for j in range(f, l + 1)]
                 if rows:
                     x = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.int64()), pa.array(x[3], pa.binary()), pa.array(x[4], pa.int32()), pa.array([y and y[0] for y in x[5]], pa.int64()), pa.array([y and y[1] for y in x[5]], pa.int64())],
-                        ["anchor", "snippet", "n", "words", "offset", "one", "two"],
-                    )
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(x, kinds, strict=True)], ["anchor", "snippet", "n", "words", "offset", "one", "two"])
 
     return run
 
 
 def _search(window: int):
     def run(table: pa.Table) -> pa.Table:
-        snippets, n = table.column("snippet").to_pylist(), table.column("n").to_pylist()
+        anchors, snippets, n, single = (table.column(x).to_pylist() for x in ("anchor", "snippet", "n", "single"))
         words = [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()]
         twice = [w for w, k in zip(words, n, strict=True) if k > 1]
         found = repeated_spans(words + twice, window)[: len(words)]
-        rows = [(s, k, a, b) for s, k, spans in zip(snippets, n, found, strict=True) for a, b in spans]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["snippet", "n", "a", "b"])
+        rows = [(*x, a, b) for *x, spans in zip(anchors, snippets, n, single, found, strict=True) for a, b in spans]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["anchor", "snippet", "n", "single", "a", "b"])
 
     return run
 
@@ -170,45 +170,51 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = distinct.count()
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("group_size"))
     sizes = sizes.filter("group_size > 1")
-    marked = attach(distinct, sizes, "anchor", total).select("anchor", "snippet", "n", "at.*", (F.coalesce("group_size", F.lit(1)) > HOT).alias("hot"))
+    marked = attach(distinct, sizes, "anchor", total).select("anchor", "snippet", "n", "at.*", (F.coalesce("group_size", F.lit(1)) > MOST_SNIPPETS).alias("hot"))
     wanted = marked.groupBy("k").agg(F.collect_list(F.struct("anchor", "snippet", "n", "first", "last", "hot")).alias("wanted"))
     one_each = docs.select("k", "text").join(wanted, "k").dropDuplicates(["k"])  # rows that repeat a k have the same text
     cut = stash(one_each.mapInArrow(_cut(window), "anchor long, snippet long, n long, words binary, offset int, one long, two long"), "cut")
-    cold = cut.filter("words IS NOT NULL")
-    size = cold.agg(F.sum(F.length("words"))).first()[0] or 0
+    whole, cut_up = cut.filter("offset IS NULL"), cut.filter("offset IS NOT NULL")
+    single = cut_up.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("words").alias("words"), F.greatest(F.count(F.lit(1)), F.lit(2)).alias("group_size"))
+    single = stash(single, "windows")
+    size = whole.unionByName(single.select("words"), allowMissingColumns=True).agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * SHARD_WORDS)))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    spans = cold.select(shard, "snippet", "n", "words").groupBy("shard").applyInArrow(_search(window), "snippet long, n long, a int, b int")
-    hot = cut.filter("words IS NULL").select("snippet", "n", "offset", "one", "two")
+    rows = whole.select("anchor", "snippet", "n", "words", F.lit(False).alias("single"))
+    rows = rows.unionByName(single.select(F.col("one").alias("anchor"), F.col("two").alias("snippet"), "n", "words", F.lit(True).alias("single")))
+    spans = rows.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "*").groupBy("shard").applyInArrow(_search(window), "anchor long, snippet long, n long, single boolean, a int, b int")
+    spans = stash(spans, "found")
+    # what was found of a window goes back to all snippets that have it
     digest = F.struct("one", "two").alias("digest")
-    counts = hot.groupBy(digest).agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("group_size")).filter("times > 1").withColumn("group_size", F.greatest("group_size", F.lit(2)))
-    again = attach(hot.select("snippet", "n", "offset", digest), counts, "digest", max(1, total)).filter("times > 1")
-    spans = spans.unionByName(again.select("snippet", "n", F.col("offset").alias("a"), (F.col("offset") + window).cast("int").alias("b")))
-    per_snippet = spans.groupBy("snippet").agg(F.greatest(F.max("n"), F.lit(2)).alias("group_size"), F.collect_set(F.struct("a", "b")).alias("spans"))
+    again = spans.filter("single").select(F.struct(F.col("anchor").alias("one"), F.col("snippet").alias("two")).alias("digest")).join(single.select(digest, "group_size"), "digest")
+    again = attach(cut_up.select("anchor", "snippet", "n", "offset", digest), again, "digest", max(1, total)).filter("group_size IS NOT NULL")
+    spans = spans.filter("NOT single").select("anchor", "snippet", "n", "a", "b")
+    spans = spans.unionByName(again.select("anchor", "snippet", "n", F.col("offset").alias("a"), (F.col("offset") + window).cast("int").alias("b")))
+    key = F.struct("anchor", "snippet").alias("key")
+    per_snippet = spans.groupBy(key).agg(F.greatest(F.max("n"), F.lit(2)).alias("group_size"), F.collect_set(F.struct("a", "b")).alias("spans"))
     per_snippet = stash(per_snippet, "spans")
-    hits = attach(found.select("snippet", "k", "first"), per_snippet, "snippet", max(1, found.count())).filter("spans IS NOT NULL")
+    hits = attach(found.select(key, "k", "first"), per_snippet, "key", max(1, found.count())).filter("spans IS NOT NULL")
     hits = hits.select("k", "first", F.explode("spans").alias("span"))
     return hits.select("k", (F.col("first") + F.col("span.a")).cast("int").alias("a"), (F.col("first") + F.col("span.b")).cast("int").alias("b"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = column_of(batch, "spans").to_pylist()
-        n, removed, texts = [], [], []
-        for text, cover in zip(column_of(batch, "text").to_pylist(), spans, strict=True):
-            words = (text or "").encode().split()
-            n.append(len(words))
-            if cover:
-                gone = np.zeros(len(words) + 1, np.int64)
-                for x in cover:
-                    gone[x["a"]] += 1
-                    gone[x["b"]] -= 1
-                stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-                words = [words[i] for i in stay]
-            removed.append(n[-1] - len(words))
-            texts.append(b" ".join(words))
-        sha = [hashlib.sha256(t).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([t.decode() for t in texts], pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    for whole in batches:
+        for i, j in pieces(text_buffers(column_of(whole, "text"))[1]):
+            batch = whole.slice(i, j - i)
+            n, removed, texts = [], [], []
+            for text, cover in zip(column_of(batch, "text").to_pylist(), column_of(batch, "spans").to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                n.append(len(words))
+                if cover:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for x in cover:
+                        gone[x["a"]] += 1
+                        gone[x["b"]] -= 1
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] == 0)]
+                removed.append(n[-1] - len(words))
+                texts.append(b" ".join(words))
+            sha = [hashlib.sha256(t).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([t.decode() for t in texts], pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
