@@ -101,14 +101,17 @@ def cells(rows: DataFrame, size: str, item: str, most: int) -> DataFrame:
     return rows.withColumn("cell_a", F.least("block", "_other")).withColumn("cell_b", F.greatest("block", "_other")).drop("_g", "_other")
 
 
-def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The `most` rows whose key has the smallest hash, ties by key. A range of hashes that holds twice as many is cut out
-    first, so that no task gets more than that, however many partitions there are."""
+def hash_sample(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """`most` distinct rows by key and text, those with the smallest hash of the two, with the hash as _h (a table of many
+    repeated rows may give fewer). A range of hashes that holds about four times as many is cut out first and only hashes
+    are sorted, so no task gets more than that and texts stay where they are."""
     n = rows.count()
-    part = rows.withColumn("_h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)))
-    if n > 4 * most:
-        part = part.filter(F.col("_h") < int((1 << 30) * 2 * most / n))
-    return part.orderBy("_h", key).limit(most).drop("_h")
+    own = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("")))
+    near = rows.withColumn("_h", F.shiftrightunsigned(own, 1))
+    if n > 8 * most:
+        near = near.filter(F.col("_h") < int(2.0**63 * 4 * most / n))
+    last = near.select("_h").distinct().orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    return near.filter(F.col("_h") <= F.lit(last).cast("long")).dropDuplicates(["_h"])
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

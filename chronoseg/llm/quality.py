@@ -4,7 +4,8 @@ Each labeller votes good, bad or abstains. All documents are counted by their pa
 the number of labellers rows), and expectation-maximisation over these counts estimates the share of good documents and,
 for each labeller, how often it votes what in either class: its accuracy, found without a single true label. The
 posterior of a pattern is the label of its documents; a logistic scorer over hashed shapes of the text is trained on
-these labels and scores every document, so that documents on which all labellers abstain get a score too.
+these labels and on what the labellers said, and scores every document, so that documents on which all labellers abstain
+get a score too.
 """
 
 from __future__ import annotations
@@ -146,6 +147,17 @@ def shapes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, key % FEATURES, np.sqrt(count / np.bincount(row, count, len(off) - 1)[row])
 
 
+def features(data: np.ndarray, off: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shapes() and the votes v, hashed into the same features, all votes of a text together of length 1 at most: row,
+    feature, weight, in order of rows."""
+    row, feature, x = shapes(data, off)
+    voter, labeller = np.nonzero(v)
+    said = mix((np.uint64(1) << np.uint64(32)) + (2 * labeller + (v[voter, labeller] > 0)).astype(np.uint64)) % np.uint64(FEATURES)
+    row, feature, x = np.append(row, voter), np.append(feature, said.astype(np.int64)), np.append(x, np.full(len(voter), len(LABELLERS) ** -0.5))
+    order = np.argsort(row, kind="stable")
+    return row[order], feature[order], x[order]
+
+
 def train_linear(row: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a logistic regression on soft labels y, the bias last, by accelerated gradient steps; classes weigh the
     same."""
@@ -156,7 +168,7 @@ def train_linear(row: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndar
         z = np.bincount(row, x * ahead[feature], len(y)) + ahead[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
         step = np.append(np.bincount(feature, x * g[row], FEATURES) + ridge * ahead[:-1] / FEATURES, g.sum())
-        new = ahead - 2.0 * step  # features have length 1, so the curvature is at most 1/2
+        new = ahead - 1.3 * step  # shapes, votes and the bias have length 1 each, so the curvature is at most 3/4
         ahead, w = new + (t - 1) / (t + 2) * (new - w), new
     return w
 
@@ -183,20 +195,36 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     voted = stash(rows.mapInArrow(vote, T.StructType([rows.schema["id"], T.StructField("pattern", T.LongType())])), "votes")
     table = voted.groupBy("pattern").count().orderBy("pattern").toPandas()  # at most 729 rows
     prior, p = label_model(table["pattern"].to_numpy(np.int64), table["count"].to_numpy(float))
-    chosen = hash_sample(rows.filter(F.length(F.trim("text")) > 0), "id", sample)
+    chosen = hash_sample(rows.filter(F.length(F.trim("text")) > 0), "id", "text", sample)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = column_of(batch, "_h").to_numpy()
             for a, b, part, at in _slices(batch, "text"):
-                row, feature, x = shapes(part, at)
-                held.append((row + n, feature, x, posterior_of(_pattern(votes(part, at)), prior, p)))
-                n += b - a
-        if held:
-            w = train_linear(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                v = votes(part, at)
+                row, feature, x = features(part, at, v)
+                cut = np.searchsorted(row, np.arange(b - a + 1))
+                feature, x = feature.astype("<u2"), x.astype("<f4")
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "h": pa.array(h[a:b]),
+                        "y": pa.array(posterior_of(_pattern(v), prior, p)),
+                        "feature": pa.array([feature[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
+                        "x": pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
+                    }
+                )
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample's features, at most 6 bytes each of FEATURES a document, in order of their hash."""
+        held = pa.Table.from_batches(batches, pa.schema([("h", pa.int64()), ("y", pa.float64()), ("feature", pa.binary()), ("x", pa.binary())])).sort_by("h")
+        if held.num_rows:
+            feature, x = ([np.frombuffer(b, t) for b in held.column(c).to_pylist()] for c, t in (("feature", "<u2"), ("x", "<f4")))
+            row = np.repeat(np.arange(held.num_rows), [len(f) for f in feature])
+            w = train_linear(row, np.concatenate(feature).astype(np.int64), np.concatenate(x).astype(float), held.column("y").to_numpy())
             yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary())})
 
-    got = chosen.select("text").coalesce(1).mapInArrow(fit, "w binary").collect()
+    told = chosen.select("_h", "text").mapInArrow(featured, "h long, y double, feature binary, x binary")
+    got = told.repartition(1).mapInArrow(fit, "w binary").collect()
     w = np.frombuffer(got[0]["w"]) if got else np.zeros(FEATURES + 1)
     known = docs.sparkSession.sparkContext.broadcast((prior, p, w))  # FEATURES + 1 weights
 
@@ -206,7 +234,7 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             out = []
             for a, b, part, at in _slices(batch, "text"):
                 v = votes(part, at)
-                row, feature, x = shapes(part, at)
+                row, feature, x = features(part, at, v)
                 z = np.bincount(row, x * w[feature], b - a) + w[-1]
                 s, _, woff = word_spans(part, at)
                 out.append((posterior_of(_pattern(v), prior, p), np.where(woff[1:] > woff[:-1], 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0), v))

@@ -66,10 +66,11 @@ def _spans(text: Column, kind: int, pattern: str, hint: Column, value_group: int
     return F.when(hint, spans).otherwise(empty)
 
 
-def _pair(text: Column, i: Column) -> Column:
-    """The number of the character pair at i (from 1); characters outside of ! to ~ count as the nearest."""
-    code = lambda j: F.greatest(F.lit(0), F.least(F.lit(_WIDE - 1), F.ascii(F.substring(text, j, F.lit(1))) - _FIRST))
-    return code(i) * _WIDE + code(i + 1)
+def _pairs(text: Column) -> Column:
+    """The number of each character pair; characters outside of ! to ~ count as the nearest. Cut to characters once, so the
+    work is linear in the text."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.greatest(F.lit(0), F.least(F.lit(_WIDE - 1), F.ascii(c) - _FIRST)))
+    return F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: a * _WIDE + b)
 
 
 def train_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> list[float]:
@@ -79,13 +80,13 @@ def train_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     n = spark.range(RANDOM_STRINGS)
     shapes = [F.base64(F.unhex(seed)), F.translate(F.base64(F.unhex(F.sha2(seed, 256))), "+/=", ""), F.translate(F.base64(F.unhex(F.sha2(F.concat(seed, F.lit("u")), 256))), "+/", "-_"), F.substring(F.sha2(F.concat(seed, F.lit("h")), 256), 1, 40), F.upper(F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(seed, F.lit("k")), 256))), "+/=", ""), 1, 24))]
     random = n.select(F.explode(F.array(*shapes)).alias("token"), F.lit(1).alias("label"))
-    few = hash_sample(docs.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", ORDINARY_DOCUMENTS)
+    few = hash_sample(docs.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text", ORDINARY_DOCUMENTS)
     words = few.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("w")).filter(~F.col("w").rlike("[0-9]"))
     # the words as they are, and joined as identifiers are
     styles = F.array(F.col("w"), F.concat(F.lower("w"), F.lit("_"), F.lower("w")), F.concat(F.lower("w"), F.initcap("w")), F.upper("w"), F.concat(F.lower("w"), F.lit("-"), F.lower("w"), F.lit("/"), F.lower("w")), F.concat(F.lower("w"), F.lit("2="), F.lower("w"), F.lit("_10")))
     ordinary = words.select(F.explode(styles).alias("token"), F.lit(0).alias("label"))
-    tokens = random.unionByName(ordinary).filter(F.length("token") >= 2).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("token") - 1)))
-    rows = tokens.groupBy("label", _pair(F.col("token"), F.col("i")).alias("pair")).count().collect()  # two for each pair at most
+    pairs = random.unionByName(ordinary).filter(F.length("token") >= 2).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
+    rows = pairs.groupBy("label", "pair").count().collect()  # two for each pair at most
     counts = np.full((2, _WIDE, _WIDE), 0.0)
     for r in rows:
         counts[r["label"], r["pair"] // _WIDE, r["pair"] % _WIDE] += r["count"]
@@ -115,8 +116,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     table = F.array(*[F.lit(float(x)) for x in ratios])
 
     def mean_ratio(v: Column) -> Column:
-        total = F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, _pair(v, i) + 1))
-        return total / (F.length(v) - 1)
+        return F.aggregate(_pairs(v), F.lit(0.0), lambda acc, i: acc + F.get(table, i)) / (F.length(v) - 1)
 
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     least = lambda v: F.when(v.rlike("[0-9]"), F.lit(LEAST_RATIO)).otherwise(F.lit(LEAST_RATIO_LETTERS))
