@@ -25,6 +25,8 @@ BUCKETS = 1 << 14
 SAMPLE = 2000
 #: Up to so many languages the model is one dense table; beyond, a sparse one of the buckets that each language has.
 DENSE_LANGUAGES = 64
+#: Characters of which trigrams are counted at once.
+WINDOW = 1 << 20
 #: Numbers that the tables of the texts fitted at once have about.
 CELLS = 1 << 23
 #: Languages that a task of training counts at once.
@@ -41,17 +43,21 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     flat = pc.utf8_lower(pc.fill_null(texts, ""))
     flat = pc.replace_substring_regex(flat, r"[^\pL\pM]+", " ")
     lettered = np.asarray(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(flat)), 0))
-    code = np.frombuffer((" " + "  ".join(flat.to_pylist()) + " ").encode("utf-32-le"), "<u4")
-    lengths = np.asarray(pc.utf8_length(flat)).astype(np.int64) + 2
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    with np.errstate(over="ignore"):
-        h = code[:-2].astype(np.uint64) * np.uint64(1 << 42) + code[1:-1].astype(np.uint64) * np.uint64(1 << 21) + code[2:]
-    inside = np.ones(len(code), bool)
-    inside[np.cumsum(lengths)[:-1] - 1] = inside[np.cumsum(lengths)[:-1] - 2] = False  # runs into the next row
-    blank = code == 32
-    good = inside[:-2] & ~(blank[:-2] & blank[1:-1]) & ~(blank[1:-1] & blank[2:]) & (row[:-2] == row[2:])
-    key = row[:-2][good] * BUCKETS + (mix(h[good]) % np.uint64(BUCKETS)).astype(np.int64)
-    key, count = np.unique(key, return_counts=True)
+    joined = " " + "  ".join(flat.to_pylist()) + " "
+    ends = np.cumsum(np.asarray(pc.utf8_length(flat)).astype(np.int64) + 2)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(joined) - 2, WINDOW):  # a very long text takes no more than a window's arrays
+        code = np.frombuffer(joined[start : start + WINDOW + 2].encode("utf-32-le"), "<u4")
+        at = np.arange(start, start + len(code) - 2)
+        row, blank = np.searchsorted(ends, at, "right"), code == 32
+        with np.errstate(over="ignore"):
+            h = code[:-2].astype(np.uint64) * np.uint64(1 << 42) + code[1:-1].astype(np.uint64) * np.uint64(1 << 21) + code[2:]
+        good = ~(blank[:-2] & blank[1:-1]) & ~(blank[1:-1] & blank[2:]) & (row == np.searchsorted(ends, at + 2, "right"))
+        key, count = np.unique(row[good] * BUCKETS + (mix(h[good]) % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
     return key // BUCKETS, key % BUCKETS, count, lettered
 
 
@@ -244,7 +250,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the share of that language), unknown (that of none) and shares (those of the set).
 
     lang_pred is a learned language; `und` with score 0 if the text is null or has no letter, or nothing was learned. A
-    text without a trigram of letters takes the first language. Ties go to the first language by code point."""
+    text without a trigram of letters takes the first language. Ties go to the first language by code point. Rows that
+    repeat are rows of their own, with the same answer; columns of these four names are replaced, others carried; an empty
+    table gives no rows."""
+    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "unknown", "shares")])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the buckets that each language has, of BUCKETS at most
     names = docs.columns
 
