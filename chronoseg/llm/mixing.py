@@ -5,7 +5,7 @@ linear between them. Its integral, scaled to the source's target, is the number
 source up to t. A document stands where that demand reaches the words taken from its source before it: its position is
 the inverse of the integral. Sorting all by position (a range partitioning, no global task) gives the training order.
 
-Within a source, documents come in the order of md5 of their id; running sums over that order are made in two steps, of
+Within a source, documents come in the order of md5 of their id (without one, of their text); running sums over that order are made in two steps, of
 hash ranges of some thousand rows each, so that a source with most of the rows is no task of its own.
 """
 
@@ -77,11 +77,11 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sched
     copy_positions, that of its first word in each pass that takes any of it; with carry, carried: the whole row.
 
     taken: the words the mix takes of the document, repeats counted; the source's whole passes and then, in the order of
-    md5 of the id, what is left of its target, so that a source's taken words add up to its target, rounded. whole: the
+    md5 of the id (or text), what is left of its target, so that a source's taken words add up to its target, rounded. whole: the
     last pass takes whole documents only, each if the half of it is within what is left. Null and empty texts have size
     0 and take nothing; a null source is a source; ties of id are ordered by size; an empty table gives no rows."""
     rows = stash(
-        docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("h"), *[F.struct("*").alias("carried")] * carry),
+        docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("#"), F.coalesce(F.col(text), F.lit("")))).cast("binary")).alias("h"), *[F.struct("*").alias("carried")] * carry),
         "sizes",
     )
     totals = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).select("source", "source_size"), weights)

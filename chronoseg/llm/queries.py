@@ -46,19 +46,25 @@ FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
-def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job: every document with its position and that of each copy, in the training order."""
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the training order, with its position."""
     mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"), (1, 2, 3))
-    return mixing.by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "position", "copy_positions")
+    return mixing.by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
-def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op10_training_order that its SQL has; its rows come in the same order."""
-    return op10_training_order(spark, sf_dir).drop("position", "copy_positions")
+def _position_sql() -> str:
+    """Where the demand of a schedule of three values, scaled to the target, reaches what was taken before."""
+    cases = []
+    for k, (a, b, c) in enumerate(mixing.SCHEDULES):
+        mid, end = (a + b) / 4, (a + b) / 4 + (b + c) / 4
+        root = lambda u, v, y: f"CASE WHEN {y} > 0 THEN least(2 * {y} / ({u} + sqrt(greatest({u * u} + {4 * (v - u)} * {y}, 0.0))), 0.5) ELSE 0.0 END"
+        x = f"(share * {end})"
+        cases.append(f"WHEN rk % 3 = {k} THEN CASE WHEN {x} <= {mid} THEN {root(a, b, x)} WHEN {x} <= {end} THEN 0.5 + {root(b, c, f'({x} - {mid})')} ELSE 1.0 END")
+    return "CASE " + " ".join(cases) + " END"
 
 
-OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '#' || coalesce(text, ''))) AS h,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk
       FROM d GROUP BY source),
@@ -67,17 +73,18 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
               / sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 m AS (SELECT min(CASE WHEN lv * weight <= cap THEN cap / weight END) AS open_at,
              arg_min(lv, cap / weight) FILTER (WHERE lv * weight <= cap) AS lv FROM l),
-t AS (SELECT l.source, l.source_size,
+t AS (SELECT l.source, l.source_size, l.rk,
              CASE WHEN m.open_at IS NULL OR cap / weight < m.open_at THEN cap ELSE least(cap, m.lv * weight) END AS target FROM l, m),
 g AS (SELECT *, least(CAST(round(target) AS BIGINT), 3 * source_size) AS goal,
              CASE WHEN source_size > 0 THEN least(CAST(round(target) AS BIGINT), 3 * source_size) // source_size ELSE 0 END AS passes FROM t),
-r AS (SELECT d.doc_id, d.size, g.source_size, g.target, passes,
-             goal - passes * g.source_size - coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+r AS (SELECT d.doc_id, d.size, g.source_size, g.target, passes, goal, rk, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, CASE WHEN target > 0 THEN least(before / target, 1.0) ELSE 0.0 END AS share FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, remaining)) AS BIGINT) AS taken
-FROM r
+       CAST(passes * size + greatest(0, least(size, goal - passes * source_size - before)) AS BIGINT) AS taken,
+       round({_position_sql()}, 9) AS position
+FROM p
 """
 
 
@@ -109,6 +116,20 @@ def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM d),
+x AS (SELECT r, unnest(g) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s u ON u.r = a JOIN s v ON v.r = b WHERE 100 * k >= 85 * (len(u.g) + len(v.g) - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT t.a, min(doc_id) AS least FROM t JOIN s ON s.r = t.b GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, c.least) AS component_id FROM s LEFT JOIN c ON c.a = s.r
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
@@ -133,11 +154,10 @@ QUERIES = {
     "op3_vector_join": (op3_vector_join, OP3_SQL),
     "op6_language_id": (op6_language_id, None),
     "op9_pieces": (op9_pieces, None),
-    "op7_set_join": (op7_set_join, None),
+    "op7_set_join": (op7_set_join, OP7_SQL),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op1_token_store": (op1_token_store, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
-    "op10_training_order": (op10_training_order, None),  # before op10_mixing, so that the check tool takes the whole job for op10
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
 

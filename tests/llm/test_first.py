@@ -100,19 +100,24 @@ def test_op10_gives_the_training_order(spark):
     from chronoseg.llm.queries import QUERIES
 
     data = "/root/testdata/sf0.001"
-    whole = QUERIES["op10_training_order"][0](spark, data).collect()
-    n = spark.read.parquet(f"{data}/documents.parquet").count()
-    assert len(whole) == n and any(r.taken == 0 for r in whole)
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    whole = mixing.by_position(mixing.mix_documents(table)).collect()
+    assert len(whole) == table.count() and any(r.taken == 0 for r in whole)
     assert [r.position for r in whole] == sorted(r.position for r in whole)
     for r in whole:
         assert len(r.copy_positions) == (-(-r.taken // r.size) if r.size else 0)
         assert list(r.copy_positions) == sorted(r.copy_positions) and all(0 <= p <= 1 for p in r.copy_positions)
         assert not r.taken or r.copy_positions[0] == r.position
     mixed = QUERIES["op10_mixing"][0](spark, data)
-    assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken"]
-    assert [tuple(r) for r in mixed.collect()] == [tuple(r)[:5] for r in whole]  # in the same order
-    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
-    assert "Sort [position" in plan
+    assert [tuple(r)[:5] for r in mixed.collect()] == [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in whole]  # in the same order
+    assert "Sort [position" in mixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_without_an_id_are_spread_by_their_text(spark):
+    rows = [(None, f"w{i} x", "s") for i in range(50)] + [(i, "y z", "s") for i in range(50)] + [(None, "w1 x", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    first, again = (sorted(map(tuple, mixing.mix_documents(df).select("doc_id", "size", "taken", "position").collect()), key=repr) for _ in range(2))
+    assert first == again and len({p for i, _, _, p in first if i is None}) > 40
 
 
 def test_inverse_demand(spark):

@@ -105,9 +105,9 @@ def test_fm_index_finds_every_repeat():
             assert (want == have).all()
 
 
-@pytest.mark.parametrize("hot", [500, 1])
-def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("most", [4096, 1])
+def test_substring_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MOST_SNIPPETS", most)  # 1: all snippets are cut to windows
     r = random.Random(4)
     word = lambda: "w%d" % r.randrange(400)
     passage = [word() for _ in range(60)]
@@ -130,10 +130,11 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert substring_dedup.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("list_rows", "rounds"), [(4096, 3), (5, 1)])
-def test_set_join(spark, monkeypatch, list_rows, rounds):
+@pytest.mark.parametrize(("list_rows", "rounds", "block"), [(1024, 6, 64), (5, 1, 3), (3, 0, 2)])
+def test_set_join(spark, monkeypatch, list_rows, rounds, block):
     monkeypatch.setattr(set_join, "LIST_ROWS", list_rows)
     monkeypatch.setattr(set_join, "ROUNDS", rounds)
+    monkeypatch.setattr(set_join, "BLOCK", block)
     r = random.Random(list_rows)
     common = ["zz%d" % i for i in range(12)]
     bases = [["%s%d" % (r.choice("abcdefghij"), r.randrange(60)) for _ in range(n)] for n in (3, 8, 30, 60, 60)]
@@ -152,6 +153,28 @@ def test_set_join(spark, monkeypatch, list_rows, rounds):
     assert set_join.jaccard_components(table(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_below_the_threshold_make_no_rows_of_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    base = ["b%d" % i for i in range(90)]
+    texts = [" ".join(edited(r, base, 4, lambda: "x%d" % r.randrange(3))) for _ in range(400)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    made = []
+    stash = set_join.stash
+
+    def counted(df, name="table"):
+        out = stash(df, name)
+        if name in ("open", "tried", "links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "stash", counted)
+    root = union(links, range(len(texts)))
+    got = sorted(tuple(x) for x in set_join.jaccard_components(table(spark, texts), 4, 85, 100).collect())
+    assert got == [(i, len(sets[i]), root[i]) for i in range(len(texts))]
+    assert len(set(root.values())) > 100 and max(made) < 20 * len(texts)
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_vector_join(spark, monkeypatch, block):
     monkeypatch.setattr(vector_join, "BLOCK", block)
@@ -260,30 +283,54 @@ def test_sparse_model_is_the_dense_one(monkeypatch):
     assert np.allclose(sparse.mixtures(*texts)[0], want, atol=2e-3)
 
 
-def test_pieces_round_trip_and_are_best(spark):
+def test_pieces_are_the_librarys(spark):
     import public_tokenizers
+    import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
     m = pieces.PieceModel(path)
     r = random.Random(1)
-    for _ in range(60):
+    for letters in ("the in\n▁éß漢😀  ab", "aab  \t.,-=01", "eotainshr ", "абвгде ж", "e", " "):
+        for _ in range(200):
+            text = "".join(r.choice(letters) for _ in range(r.randrange(30)))
+            ids = m.encode(text)
+            assert ids == (m._alone(" " + text.replace("▁", " ")) if text else []) == sp.encode(text) and m.decode(ids) == sp.decode(ids) == text.replace("▁", " ")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for x in pieces.encode_pieces(docs, path).select("text", "piece_ids", "round_trip").collect():
+        assert x.piece_ids == (None if x.text is None else sp.encode(x.text)) and x.round_trip is not False
+
+
+def test_scores_decide_where_any_piece_may_follow():
+    import public_tokenizers
+
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    m.merges = None
+    score = {m.raw[i].decode(): s for i, s in zip(m.ids, m.scores, strict=True)}
+    r = random.Random(1)
+    for _ in range(40):
         text = "".join(r.choice("the in\n▁éß漢😀  ab") for _ in range(r.randrange(14)))
-        marked = text.replace(" ", "▁") and "▁" + text.replace(" ", "▁")
+        marked = text and " " + text.replace("▁", " ")
         best = [0.0] + [-math.inf] * len(marked)
-        score = dict(zip((m.pieces[i] for i in m.ids), m.scores, strict=True))
         for i in range(1, len(marked) + 1):
             best[i] = best[i - 1] + m.byte_score * len(marked[i - 1].encode())
             for j in range(max(0, i - 40), i):
                 best[i] = max(best[i], best[j] + score.get(marked[j:i], -math.inf))
         ids = m.encode(text)
-        got = sum(m.byte_score if i in m.byte.values() else dict(zip(m.ids, m.scores, strict=True))[i] for i in ids)
-        assert got == pytest.approx(best[-1]) and m.segment(marked) == ids
-        assert m.decode(ids) == text.replace("▁", " ")
-    texts = [None, "", " ", "a  b ", "line\nline\ttab", "The the " * 4000, "漢字😀"]
-    encoded = pieces.encode_pieces(table(spark, texts).withColumn("n_pieces", F.lit(1)), path)
+        assert sum(m.byte_score if i in m.byte else score[m.raw[i].decode()] for i in ids) == pytest.approx(best[-1])
+        assert m.segment([marked])[0].tolist() == ids and m.decode(ids) == text.replace("▁", " ")
+
+
+def test_pieces_of_odd_rows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", " ", "a  b ", "line\nline\ttab", "The the " * 4000, "漢字😀", "a  b ", "x" * 70_000, None]
+    encoded = pieces.encode_pieces(table(spark, texts).withColumns({"n_pieces": F.lit(1), "decoded": F.lit("x")}), path)
     back = pieces.decode_pieces(encoded, path).orderBy("doc_id").collect()
-    assert [x.decoded for x in back] == texts and [x.round_trip for x in back] == [None] + [True] * 6
-    assert [x.n_pieces for x in back][:2] == [0, 0] and pieces.summary(encoded).count() == 7
+    assert [x.decoded for x in back] == texts and [x.round_trip for x in back] == [t and True if t is None else True for t in texts]
+    assert [x.n_pieces for x in back][:2] == [0, 0] and pieces.summary(encoded).count() == len(texts)
+    assert back[3].piece_ids == back[7].piece_ids and back[3].rid == 1
     assert pieces.encode_pieces(table(spark, texts).limit(0), path).count() == 0
 
 
