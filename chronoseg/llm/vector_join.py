@@ -86,31 +86,39 @@ def _hashes(hasher: Hasher):
     return run
 
 
+def _rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+
 def _links(hasher: Hasher, cosine: float):
     """Rows sorted by cell (no, h, cell_a, cell_b) to sums of links (a = rep, n) and edges (a, b, n = 0)."""
 
-    def cell(no: int, apart: bool, block, rep, times, x) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        near = x @ x.T >= cosine
-        i, j = np.nonzero(np.triu(near, 1))
-        if apart:
-            go = block[i] != block[j]
-            i, j = i[go], j[go]
-        if not len(i):
-            return
-        used = np.unique(np.concatenate([i, j]))
-        keys = np.empty((len(x), hasher.tables), np.int64)
-        for a in range(0, len(used), 250):
-            keys[used[a : a + 250]] = hasher.keys(x[used[a : a + 250]])
-        for t in range(no):  # counted in an earlier table
-            go = keys[i, t] != keys[j, t]
-            i, j = i[go], j[go]
-            if not len(i):
-                return
-        n = np.bincount(i, times[j], len(x)) + np.bincount(j, times[i], len(x))
-        nodes, label = union_find(rep[i], rep[j])
-        at = np.flatnonzero(n)
-        yield rep[at], np.full(len(at), -1, np.int64), n[at].astype(np.int64)
-        yield nodes[nodes != label], label[nodes != label], np.zeros(int((nodes != label).sum()), np.int64)
+    def pairs(begin: np.ndarray, size: np.ndarray, x: np.ndarray, apart: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The near pairs of rows of all cells; cells of one size at a time, as many as fit some megabytes."""
+        out = [np.zeros((2, 0), np.int64)]
+        for m in np.unique(size):
+            every = begin[size == m]
+            step = max(1, (1 << 21) // int(m * max(m, hasher.dim)))
+            for k in range(0, len(every), step):
+                rows = every[k : k + step, None] + np.arange(m)
+                v = x[rows]
+                c, i, j = np.nonzero(np.triu(v @ v.transpose(0, 2, 1) >= cosine, 1))
+                i, j = rows[c, i], rows[c, j]
+                go = ~apart[i] | (block[i] != block[j])
+                out.append(np.stack([i[go], j[go]]))
+        return np.concatenate(out, axis=1)
+
+    def counted(i: np.ndarray, j: np.ndarray, no: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which pairs share no bucket of an earlier table, where they are counted."""
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = np.concatenate([hasher.keys(x[used[a : a + 250]]) for a in range(0, len(used), 250)])
+        i, j = at[: len(i)], at[len(i) :]
+        first = np.empty(len(i), bool)
+        for a in range(0, len(i), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            first[part] = ~((keys[i[part]] == keys[j[part]]) & (np.arange(hasher.tables) < no[part, None])).any(1)
+        return first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -128,14 +136,21 @@ def _links(hasher: Hasher, cosine: float):
         ends = np.append(cut[1:], batch.num_rows)
         if not last:  # the last cell may go on in the next batch
             cut, ends, whole.cut = cut[:-1], ends[:-1], int(cut[-1]) if len(cut) else 0
+        cut, ends = cut[ends - cut > 1], ends[ends - cut > 1]
+        if not len(cut):
+            return
         rep, times, block = (column_of(batch, c).to_numpy() for c in ("rep", "times", "block"))
-        out = []
-        for a, b in zip(cut, ends, strict=True):
-            if b - a > 1:
-                x = _matrix(column_of(batch, "v").slice(a, b - a), hasher.dim)
-                out += cell(int(key[a, 0]), key[a, 2] != key[a, 3], block[a:b], rep[a:b], times[a:b], x)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["a", "b", "n"])
+        x = _matrix(column_of(batch, "v"), hasher.dim)
+        i, j = pairs(cut, ends - cut, x, key[:, 2] != key[:, 3], block)
+        if not len(i):
+            return
+        first = counted(i, j, key[i, 0], x)
+        i, j = i[first], j[first]
+        nodes, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([times[j], times[i]]), len(nodes)).astype(np.int64)
+        yield from _rows(nodes, np.full(len(nodes), -1, np.int64), n)
+        nodes, label = union_find(rep[i], rep[j])
+        yield from _rows(nodes[nodes != label], label[nodes != label], np.zeros(int((nodes != label).sum()), np.int64))
 
     return run
 
