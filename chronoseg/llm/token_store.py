@@ -123,10 +123,18 @@ _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-
 JOINED = 64
 
 
+#: Texts that tell whether a tokenizer cuts texts to words as above.
+PROBES = (
+    "", " ", "Hello  World\tit's 12,345.67 don't WE'LL they'd", "a--b ... (c) [d] {e} <f>", "É é naïve ß Ø ÿ × ÷ ſ", "x1y2 3z 0x1F a_b c/d", "'s 't 'S' ''s o'clock",
+    "line\nline\r\n\x0b\x0c end", "漢字 かな 한국어 عربي हिन्दी", "ﬁ Ⅷ ½ ² e\u0301 I\u0307 İ", "<|startoftext|> <|endoftext|> <|x", "😀👍🏽 \u200d \u00a0 \u2003 x", "the the The THE thethe", "$ € £ 100% #tag @you a.b@c.de http://x.y/z?q=1",
+)
+
+
 class WordEncoder:
     """Encodes texts with a lower-casing tokenizer that drops white space and marks the last token of each word, by
     encoding each distinct word once. Texts of Latin letters are cut as the tokenizer's pre-tokenizer cuts them, others at
-    ASCII white space. Remembered words have a bound; beyond it the first half stays, as frequent words are met early."""
+    ASCII white space. Remembered words have a bound; beyond it the first half stays, as frequent words are met early.
+    Any other tokenizer, one without marks or that gives other ids for some of PROBES, gets whole texts."""
 
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,9 +147,14 @@ class WordEncoder:
         self.slots: dict[str, int] = {}
         self.tokens, self.used = np.zeros(1 << 20, np.uint32), 0
         self.begin, self.count = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        self.by_words = self.last.any()
+        self.by_words = bool(self.by_words) and all(self.encode([t])[0].tolist() == ids for t, ids in zip(PROBES, self._library(list(PROBES)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each."""
+        if not self.by_words:
+            ids = self._library(texts)
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         split = [_CUT.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else ["\0" + w.decode() for w in t.encode().split()] for t in texts]
         words = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), np.int64, len(split))
