@@ -32,6 +32,8 @@ MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Characters up to which parts are segmented together, and pairs of pieces that are remembered for longer ones.
 LONG, PAIRS = 64, 100_000
+#: Bytes of texts that are encoded at once.
+RANGE = 1 << 19
 _PROBES = ("", " ", "a  b ", "\ta\nB", "ﬁ é é Ⅷ", "漢字 ▁x", "12,345.67", "😀\x01")
 
 
@@ -359,7 +361,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
     The model is read here and sent to the tasks (a few times the size of its file). A word mark in a text is a space
     after the round trip, so such a text has round_trip false. Null has null ids, no pieces and round_trip null; an empty
     text has no pieces. Rows that repeat are rows of their own, of the same pieces. Columns of these three names are
-    replaced, others carried. An empty table gives no rows. Rows of a batch are encoded in ranges of about a megabyte."""
+    replaced, others carried. An empty table gives no rows. Rows of a batch are encoded some at a time, by their bytes."""
     names = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "round_trip")]
     docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model(path))
@@ -367,7 +369,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b in row_ranges(text_buffers(column_of(batch, text))[1]):
+            for a, b in row_ranges(text_buffers(column_of(batch, text))[1], RANGE):
                 part = batch.slice(a, b - a)
                 texts = column_of(part, text).to_pylist()
                 ids, at = m.encode_rows(texts)
