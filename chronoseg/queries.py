@@ -243,6 +243,18 @@ def scene_text(spark, d):
     return intervals.scene_text(intervals.assign_by_overlap(fx.segments(spark, d), _timed(spark, d)))
 
 
+#: Texts that end in a full stop, two for some.
+_STOPPED = "text || CASE WHEN seg_id % 2 = 0 THEN '。' ELSE '。。' END"
+
+
+@query(f"""WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED}, o AS (SELECT *, {_STOPPED} AS t, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY start_ms DESC, seg_id DESC) = 1 AS last FROM asg)
+SELECT video_id, scene_id, string_agg(CASE WHEN last THEN t ELSE rtrim(t, '。') END, '。' ORDER BY start_ms, seg_id) AS asr_text FROM o GROUP BY 1, 2""")
+def scene_text_without_stops(spark, d):
+    assigned = intervals.assign_by_overlap(fx.segments(spark, d), _timed(spark, d))
+    assigned = assigned.withColumn("text", F.concat("text", F.when(F.col("seg_id") % 2 == 0, F.lit("。")).otherwise(F.lit("。。"))))
+    return assigned.groupBy(V, "scene_id").agg(intervals.ordered_concat("text", F.struct("start_ms", "seg_id"), "。", True).alias("asr_text"))
+
+
 #: Planted: assigned segments that say w13 are lost.
 @query(f"""WITH {fx.FRAMES}, {fx.SEGMENTS}, {_TIMED}, lost AS (SELECT video_id, count(*) AS k FROM asg WHERE text = 'w13' GROUP BY 1), s AS (SELECT video_id, count(*) AS n FROM sp GROUP BY 1), a AS (SELECT video_id, count(*) AS na FROM asg GROUP BY 1)
 SELECT video_id, n, na - k AS n_assigned, n - na AS n_orphans FROM s JOIN lost USING (video_id) JOIN a USING (video_id)""")
@@ -545,6 +557,38 @@ def raw_cuts_documents(spark, d):
     return writers.raw_cuts(fx.videos(spark, d), _cuts(spark, d).select(V, "cut")).select(V, "total", "cuts")
 
 
+_SIGNAL = steps.greedy_nms(fx.FRAMES, 0.3, 12, 30, 72, 200).removeprefix("WITH RECURSIVE ").replace("\nSELECT video_id, event_id", ",\nse AS (SELECT video_id, event_id") + ")"
+
+
+#: Capped at 20 sampled frames an event and 10 cuts a video.
+@query(f"""WITH RECURSIVE {_SIGNAL}, {_CUTS.removeprefix(fx.FRAMES + ",")}, e AS (SELECT video_id, list(event_id || ':' || "start" || '-' || least("end", "start" + 19) ORDER BY event_id) AS events FROM se GROUP BY 1),
+c AS (SELECT video_id, list(cut ORDER BY cut)[1:10] AS cuts FROM cuts GROUP BY 1)
+SELECT video_id, total, coalesce(events, []) AS events, coalesce(cuts, []) AS cuts, list_transform(coalesce(cuts, []), lambda x: x + 1) AS first_frames FROM videos LEFT JOIN e USING (video_id) LEFT JOIN c USING (video_id)""")
+def signal_documents(spark, d):
+    params = Params(cut_threshold=40.0, fps=fx.FPS, window_most=20, cuts_most=10)
+    events = pipelines.signal_events(fx.frames(spark, d), params)[1]
+    docs = writers.signal_documents(fx.videos(spark, d), events, _cuts(spark, d), params)
+    text = F.transform(F.coalesce("events", F.array()), lambda e: F.concat(e["event_id"].cast("string"), F.lit(":"), F.element_at(e["frames"], 1).cast("string"), F.lit("-"), F.element_at(e["frames"], -1).cast("string")))
+    return docs.select(V, "total", text.alias("events"), "cuts", "first_frames")
+
+
+@query("SELECT conv_id, turn, substr(text, 1, 500) AS text, substr(text, 1, 30) AS title FROM conversations")
+def capped_texts(spark, d):
+    params = Params()
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.substring("text", 1, params.text_most).alias("text"), F.substring("text", 1, params.title_most).alias("title"))
+
+
+@query(f'WITH {_SHOTS} SELECT video_id, shot_id, "start", "end" FROM shots WHERE shot_id >= 2 AND "start" < 100')
+def shots_to_render(spark, d):
+    return _shots(spark, d).filter("shot_id >= 2 AND start < 100")
+
+
+@query(f"WITH {fx.FRAMES} SELECT event_id, round((score + k) / 2, 9) AS sample FROM fr")
+def mono(spark, d):
+    channels = fx.frames(spark, d).withColumn("channels", F.array(F.col("score"), F.col("k").cast("double")))
+    return readers.mono(channels).select("event_id", F.round("sample", 9).alias("sample"))
+
+
 @query(f'WITH {_SHOTS} SELECT video_id, total, list(CAST(shot_id AS VARCHAR) || \':\' || "start" || \'-\' || "end" ORDER BY shot_id) AS shots FROM shots JOIN videos USING (video_id) GROUP BY 1, 2')
 def skeleton_documents(spark, d):
     docs = writers.skeleton(fx.videos(spark, d), shots=_shots(spark, d))

@@ -105,19 +105,47 @@ def motion_stats(vectors: DataFrame, scale: float = 1.0) -> DataFrame:
     return rows.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n_vectors"), F.count_if(F.col("m") < 1).alias("n_zero"), F.avg("m").alias("mean"), F.max("m").alias("most"))
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of .npy files: path, row, embedding."""
+def read_arrays(spark: SparkSession, path: str, missing_zero: bool = False) -> DataFrame:
+    """Rows of .npy files, and of each array of .npz files: path, name (of the array, empty for .npy), row, embedding.
+    missing_zero: where no file matches, one row of a single 0."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if missing_zero and not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([(path, "", 0, [0.0])], _ARRAYS)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for at, content in zip(df["path"], df["content"], strict=True):
-                x = np.load(io.BytesIO(content), allow_pickle=False)
-                x = x.reshape(len(x), -1).astype("f4")
-                for i in range(0, len(x), 1000):
-                    yield pd.DataFrame({"path": at, "row": range(i, min(i + 1000, len(x))), "embedding": list(x[i : i + 1000])})
+                held = np.load(io.BytesIO(content), allow_pickle=False)
+                for name, x in held.items() if hasattr(held, "items") else [("", held)]:
+                    x = np.atleast_1d(x)
+                    x = x.reshape(len(x), -1).astype("f4")
+                    for i in range(0, len(x), 1000):
+                        yield pd.DataFrame({"path": at, "name": name, "row": range(i, min(i + 1000, len(x))), "embedding": list(x[i : i + 1000])})
 
-    return files.mapInPandas(decode, "path string, row long, embedding array<float>")
+    return files.mapInPandas(decode, _ARRAYS)
+
+
+_ARRAYS = "path string, name string, row long, embedding array<float>"
+
+
+def timed(frames: DataFrame, fps: float) -> DataFrame:
+    """Decoded frames with their time in seconds."""
+    return frames.withColumn("seconds", F.col("frame") / fps)
+
+
+def scaled_crop(frames: DataFrame, width: int, height: int, size: int) -> DataFrame:
+    """RGB frames scaled by the nearest pixel so that the short side is `size`, and their centre of size x size."""
+    short = min(width, height)
+    left, top = (width - short) // 2, (height - short) // 2
+    at = (np.arange(size) * 2 + 1) * short // (2 * size)
+
+    def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            cut = [np.frombuffer(p, np.uint8).reshape(height, width, 3)[top + at][:, left + at].tobytes() for p in df["pixels"]]
+            yield df.assign(pixels=cut)
+
+    return frames.select("path", "frame", "pixels").mapInPandas(crop, "path string, frame long, pixels binary")
 
 
 def read_raw_frames(spark: SparkSession, path: str, width: int, height: int, channels: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..params import Params
+
 V = "video_id"
 
 
@@ -23,6 +25,16 @@ def raw_cuts(videos: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>"))).withColumn("events", F.array().cast("array<string>"))
 
 
+def signal_documents(videos: DataFrame, events: DataFrame, cuts: DataFrame, params: Params = Params()) -> DataFrame:
+    """One document for each video: its events with their sampled frames (at most params.window_most each) and its cuts, by
+    the frame before and the first frame after; at most params.cuts_most and params.nms_most of them, in order."""
+    span = F.struct("event_id", "center", "start", "end", F.slice(F.sequence("start", "end"), 1, params.window_most).alias("frames"))
+    listed = events.groupBy(V).agg(F.slice(F.sort_array(F.collect_list(span)), 1, params.nms_most).alias("events"))
+    cut = cuts.groupBy(V).agg(F.slice(F.sort_array(F.collect_list("cut")), 1, params.cuts_most).alias("cuts"))
+    out = videos.join(listed, V, "left").join(cut, V, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>")))
+    return out.withColumn("first_frames", F.transform("cuts", lambda c: c + 1))
+
+
 def skeleton(videos: DataFrame, shots: DataFrame | None = None, scenes: DataFrame | None = None, events: DataFrame | None = None, chapters: DataFrame | None = None) -> DataFrame:
     """The hierarchy as one document for each video; levels that are not given are left out."""
     out, span = videos, F.struct("start", "end").alias("range")

@@ -253,6 +253,9 @@ def test_readers_and_writers(spark, tmp_path):
     assert rows(readers.read_cut_log(spark, str(tmp_path / "log.txt")), "seconds") == [(2.54,), (7.0,)]
     np.save(tmp_path / "x.npy", np.arange(6, dtype=np.float16).reshape(3, 2))
     assert [r.embedding for r in readers.read_arrays(spark, str(tmp_path / "x.npy")).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
+    np.savez(tmp_path / "y.npz", a=np.ones((2, 2)), b=np.arange(3))
+    assert sorted((r.name, r.row, r.embedding) for r in readers.read_arrays(spark, str(tmp_path / "y.npz")).collect()) == [("a", 0, [1, 1]), ("a", 1, [1, 1]), ("b", 0, [0]), ("b", 1, [1]), ("b", 2, [2])]
+    assert [r.embedding for r in readers.read_arrays(spark, str(tmp_path / "none.npy"), missing_zero=True).collect()] == [[0]]
     motion = np.zeros(2, np.dtype(readers.MOTION))
     motion["frame"], motion["mean"] = [4, 5], [0.5, 1.5]
     (tmp_path / "m.bin").write_bytes(motion.tobytes())
@@ -260,6 +263,10 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "v.raw").write_bytes(bytes(range(12)) + b"\xff" * 5)
     frames = readers.read_raw_frames(spark, str(tmp_path / "v.raw"), 2, 2)
     assert [bytes(r.pixels) for r in frames.orderBy("frame").collect()] == [bytes(range(12)), b"\xff" * 5 + b"\0" * 7]
+    assert [r.seconds for r in readers.timed(frames, 2.0).orderBy("frame").collect()] == [0.0, 0.5]
+    (tmp_path / "w.raw").write_bytes(bytes(range(48)))
+    cropped = readers.scaled_crop(readers.read_raw_frames(spark, str(tmp_path / "w.raw"), 8, 2), 8, 2, 1).collect()
+    assert [bytes(r.pixels) for r in cropped] == [bytes(range(48))[3 * (8 + 4) :][:3]]
     (tmp_path / "frame_12.png").write_bytes(b"x")
     assert rows(readers.read_images(spark, str(tmp_path)), "frame") == [(12,)]
     assert readers.first_existing(spark, str(tmp_path / "no"), str(tmp_path / "sk.json")).endswith("sk.json")
