@@ -38,11 +38,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components_at_scale(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """The same by rounds of joins, for videos of more edges than one task holds: each node takes the smallest label next
-    to it, then the label of its label. Rounds are written to the shared folder, which cuts their lineage."""
+    to it, then the label of its label. Rounds are written to the shared folder, which cuts their lineage; only the last one
+    stays."""
     spark = nodes.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     both = edges.select(V, F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(V, F.col("dst").alias("a"), F.col("src").alias("b")))
     labels = nodes.select(V, F.col("shot_id").alias("a"), F.col("shot_id").alias("label"))
+    before = None
     for _ in range(most_rounds):
         near = both.join(labels.select(V, F.col("a").alias("b"), F.col("label").alias("l")), [V, "b"]).groupBy(V, "a").agg(F.min("l").alias("l"))
         new = labels.join(near, [V, "a"], "left").select(V, "a", "label", F.least("label", F.coalesce("l", "label")).alias("l"))
@@ -50,7 +52,11 @@ def components_at_scale(nodes: DataFrame, edges: DataFrame, most_rounds: int = 5
         new = new.join(jump, [V, "l"]).select(V, "a", F.least("l", "ll").alias("new"), "label")
         path = f"{at.rstrip('/')}/chronoseg-components-{uuid.uuid4().hex}"
         new.write.parquet(path)
-        written = spark.read.parquet(path)
+        written = spark.read.schema(new.schema).parquet(path)
+        if before:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
         labels = written.select(V, "a", F.col("new").alias("label"))
         if not written.filter("new <> label").take(1):
             break
