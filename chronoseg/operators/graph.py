@@ -37,31 +37,42 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components_at_scale(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """The same by rounds of joins, for videos of more edges than one task holds: each node takes the smallest label next
-    to it, then the label of its label. Rounds are written to the shared folder, which cuts their lineage; only the last one
-    stays."""
+    """The same by rounds of joins, for videos of more edges than one task holds: each node, and the node that it points to,
+    takes the smallest label next to it, then the label of its label, so long chains take few rounds too. The edges, once, and
+    the rounds are written to the shared folder, which cuts their lineage; only the last round stays."""
     spark = nodes.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    both = edges.select(V, F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(V, F.col("dst").alias("a"), F.col("src").alias("b")))
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{at.rstrip('/')}/chronoseg-components-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    def dropped(path: str) -> None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    links, links_path = written(edges.select(V, "src", "dst"))
+    both = links.select(V, F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(V, F.col("dst").alias("a"), F.col("src").alias("b")))
     labels = nodes.select(V, F.col("shot_id").alias("a"), F.col("shot_id").alias("label"))
     before = None
     for _ in range(most_rounds):
         near = both.join(labels.select(V, F.col("a").alias("b"), F.col("label").alias("l")), [V, "b"]).groupBy(V, "a").agg(F.min("l").alias("l"))
-        new = labels.join(near, [V, "a"], "left").select(V, "a", "label", F.least("label", F.coalesce("l", "label")).alias("l"))
+        held = labels.join(near, [V, "a"], "left").select(V, "a", "label", F.least("label", F.coalesce("l", "label")).alias("l"))
+        hooks = held.filter("l < label").select(V, F.col("label").alias("a"), F.expr("nullif(label, label)").alias("label"), "l")
+        new = held.unionByName(hooks).groupBy(V, "a").agg(F.max("label").alias("label"), F.min("l").alias("l"))
         jump = new.select(V, F.col("a").alias("l"), F.col("l").alias("ll"))
-        new = new.join(jump, [V, "l"]).select(V, "a", F.least("l", "ll").alias("new"), "label")
-        path = f"{at.rstrip('/')}/chronoseg-components-{uuid.uuid4().hex}"
-        new.write.parquet(path)
-        written = spark.read.schema(new.schema).parquet(path)
+        labels, path = written(new.join(jump, [V, "l"]).select(V, "a", F.least("l", "ll").alias("new"), "label"))
         if before:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            dropped(before)
         before = path
-        labels = written.select(V, "a", F.col("new").alias("label"))
-        if not written.filter("new <> label").take(1):
+        settled = not labels.filter("new <> label").take(1)
+        labels = labels.select(V, "a", F.col("new").alias("label"))
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
+    dropped(links_path)
     return labels.select(V, F.col("a").alias("shot_id"), F.col("label").alias("component"))
 
 

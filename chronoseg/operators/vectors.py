@@ -12,12 +12,15 @@ V = "video_id"
 
 def banded_edges(vectors: DataFrame, least: float, band: int = 30, digits: int | None = None) -> DataFrame:
     """Pairs src < dst <= src + band of a video with cosine of at least `least`. vectors: video_id, shot_id, embedding.
-    Each vector is sent to its `band` offsets, so the join is an equi-join on video and shot."""
+    Ids are cut into blocks of `band`, and each vector is sent to its block and the next, so the join is an equi-join on
+    video and block."""
+    block = lambda c: F.floor(F.col(c) / band)
     a = vectors.select(V, F.col("shot_id").alias("src"), unit("embedding").alias("_a"))
-    near = a.withColumn("dst", F.explode(F.sequence(F.col("src") + 1, F.col("src") + band)))
-    b = vectors.select(V, F.col("shot_id").alias("dst"), unit("embedding").alias("_b"))
+    near = a.withColumn("_block", F.explode(F.array(block("src"), block("src") + 1)))
+    b = vectors.select(V, F.col("shot_id").alias("dst"), unit("embedding").alias("_b")).withColumn("_block", block("dst"))
     sim = dot("_a", "_b")
-    pairs = near.join(b, [V, "dst"]).withColumn("sim", F.round(sim, digits) if digits is not None else sim)
+    within = near.join(b, [V, "_block"]).filter((F.col("dst") > F.col("src")) & (F.col("dst") <= F.col("src") + band))
+    pairs = within.withColumn("sim", F.round(sim, digits) if digits is not None else sim)
     return pairs.filter(F.col("sim") >= least).select(V, "src", "dst", "sim")
 
 

@@ -71,6 +71,35 @@ def test_components_join_through_a_third(spark):
     assert rows(runs, "shot_id", "run") == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 5)]
 
 
+def test_components_at_scale_reads_its_edges_once(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(40)], "video_id long, shot_id long")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(39)], "video_id long, src long, dst long").withColumn("dst", seen("dst"))
+    assert {r["component"] for r in graph.components_at_scale(nodes, edges).collect()} == {0}
+    assert made.value == 39
+
+
+def test_components_at_scale_of_chains_that_meet_at_the_far_end(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(200)] + [(1, 7)], "video_id long, shot_id long")
+    edges = spark.createDataFrame([(1, i, i + 2) for i in range(198)] + [(1, 198, 199)], "video_id long, src long, dst long")
+    assert rows(graph.components_at_scale(nodes, edges, 12), "shot_id", "component") == [(i, 0) for i in range(200)]
+
+
+def test_banded_edges_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    at = [(v, s, rng.normal(size=3).tolist()) for v in (1, 2) for s in range(-9, 12) if rng.random() < 0.9] + [(3, 0, [0.0, 0.0, 0.0]), (3, 1, None)]
+    size = lambda x: np.linalg.norm(x)
+    want = [(v, s, t) for v, s, x in at for w, t, y in at if v == w < 3 and s < t <= s + 4 and np.dot(x, y) / size(x) / size(y) >= 0.3]
+    got = vectors.banded_edges(spark.createDataFrame(at, "video_id long, shot_id long, embedding array<double>"), 0.3, 4)
+    assert rows(got, V, "src", "dst") == want
+
+
 def test_cohesion_is_strict(spark):
     v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.7, (1 - 0.49) ** 0.5]), (1, 2, [0.0, 1.0])], "video_id long, shot_id long, embedding array<double>")
     runs = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 2, 2)], "video_id long, run long, shot_id long")
