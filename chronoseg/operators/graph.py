@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import dot, unit
+from ..functions.vec import unit
+from .kernels import run_cohesion
 from .sequence import consecutive_runs
 
 V = "video_id"
+#: Shots in which the runs begin that one task judges together.
+RUNS_BLOCK = 1000
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,16 +89,25 @@ def contiguous_runs(components_: DataFrame) -> DataFrame:
 
 def cohesion(runs: DataFrame, vectors: DataFrame, least_mean: float = 0.70, least_p10: float = 0.55, digits: int = 9) -> DataFrame:
     """Mean and 10th percentile of the similarities of all pairs of a run, whether the run holds together (both strictly
-    above; one shot always does), and the later shot of its weakest pair, the first of equals with a similarity below 1."""
-    rows = runs.select(V, "run", "shot_id").join(vectors.select(V, "shot_id", unit("embedding").alias("u")), [V, "shot_id"])
-    a = rows.select(V, "run", F.col("shot_id").alias("i"), F.col("u").alias("ui"))
-    b = rows.select(V, "run", F.col("shot_id").alias("j"), F.col("u").alias("uj"))
-    pairs = a.join(b, [V, "run"]).filter("i < j").withColumn("sim", F.round(dot("ui", "uj"), digits))
-    weak = F.min(F.when(F.col("sim") < 1, F.struct("sim", "i", "j")))
-    found = pairs.groupBy(V, "run").agg(F.round(F.avg("sim"), digits).alias("mean"), F.round(F.percentile("sim", F.lit(0.1)), digits).alias("p10"), weak.alias("weak"))
-    out = runs.select(V, "run").distinct().join(found, [V, "run"], "left")
-    holds = F.col("mean").isNull() | ((F.col("mean") > least_mean) & (F.col("p10") > least_p10))
-    return out.select(V, "run", "mean", "p10", holds.alias("holds"), F.when(~holds, F.col("weak.j")).alias("split_at"))
+    above; one shot always does; null if no pair has a similarity), and the later shot of its weakest pair, the first of
+    equals with a similarity below 1. A group holds the runs that begin within a block of shots of a video."""
+    u = F.when(~F.exists("u", lambda x: x.isNull()), F.col("u")).alias("u")
+    known = vectors.select(V, "shot_id", unit("embedding").alias("u")).select(V, "shot_id", u, F.lit(True).alias("known"))
+    rows = runs.select(V, "run", "shot_id").join(known, [V, "shot_id"], "left")
+
+    def judge(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["run", "shot_id"])
+        begins = np.flatnonzero(~df["run"].duplicated().to_numpy())
+        run, ids, known, u, out = df["run"].to_numpy(), df["shot_id"].to_numpy(), df["known"].notna().to_numpy(), df["u"].to_numpy(), []
+        for a, b in zip(begins, [*begins[1:], len(df)], strict=True):
+            at = a + np.flatnonzero(known[a:b])
+            found = run_cohesion(ids[at], list(u[at]), digits)
+            mean, p10, later = found or (None, None, None)
+            holds = not (mean <= least_mean or p10 <= least_p10) if found else None if len(set(ids[at])) > 1 else True
+            out.append((df[V].iloc[0], run[a], mean, p10, holds, None if holds is not False else later))
+        return pd.DataFrame(out, columns=[V, "run", "mean", "p10", "holds", "split_at"], dtype=object)
+
+    return rows.groupBy(V, F.floor(F.col("run") / RUNS_BLOCK)).applyInPandas(judge, f"{V} long, run long, mean double, p10 double, holds boolean, split_at long")
 
 
 def scenes(runs: DataFrame, vectors: DataFrame, shots: DataFrame, least_mean: float = 0.70, least_p10: float = 0.55, recursive: bool = False, most_rounds: int = 20) -> DataFrame:

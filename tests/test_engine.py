@@ -112,6 +112,39 @@ def test_cohesion_is_strict(spark):
     assert checks.owned_twice(scenes).count() == 0 and checks.not_owned(shots, "shot_id", scenes).count() == 0 and checks.wrong_range(scenes, shots).count() == 0
 
 
+def test_cohesion_of_null_vectors_and_copies(spark):
+    at = [(1, 0, [1.0, 0.0]), (1, 1, None), (1, 2, [0.6, 0.8]), (1, 3, [1.0, 0.0]), (1, 5, [None, 1.0]), (1, 6, [1.0, 0.0]), (1, 8, [1.0, 0.0])]
+    v = spark.createDataFrame(at, "video_id long, shot_id long, embedding array<double>")
+    runs = spark.createDataFrame([(1, 0, i) for i in range(4)] + [(1, 5, 5), (1, 5, 6), (1, 8, 8), (1, 9, 9)], "video_id long, run long, shot_id long")
+    got = rows(graph.cohesion(runs, v), "run", "mean", "p10", "holds", "split_at")
+    assert got == [(0, 0.733333333, 0.6, True, None), (5, None, None, None, None), (8, None, None, True, None), (9, None, None, True, None)]
+    assert rows(graph.cohesion(runs, v, 0.8), "run", "split_at")[0] == (0, 2)
+
+
+def test_rounded_as_the_sql_rounds(spark):
+    duckdb = pytest.importorskip("duckdb")
+    # ties of the scaled double; of some, the shortest decimal lies on the other side
+    xs = [k / 1e6 + 5e-7 for k in range(-2000, 2000)] + [0.0, -0.25, float("nan")]
+    want = [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (SELECT unnest($xs::DOUBLE[]) AS x)", params={"xs": xs}).fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double").orderBy("i").select(scalar.rounded("x", 6)).collect()]
+    assert np.array_equal(got, want, equal_nan=True) and np.array_equal(K.rounded(np.array(xs), 6), want, equal_nan=True)
+
+
+def test_cohesion_queries_are_their_sql_with_a_run_of_one_shot(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from chronoseg.queries import QUERIES
+
+    rng = np.random.default_rng(2)
+    at = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in [*range(14), 15, 17, 20, 121]]
+    spark.createDataFrame(at, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("cohesion_split",):
+        f, sql = QUERIES[name]
+        want = con.sql(sql)
+        assert rows(f(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall())
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("一个。第二.\nrest",), (".only",), ("none",), ("我们 学习 学习 été ETE the",), (None,)], "t string")
     got = [r[0] for r in df.select(scalar.trim_to_sentence("t")).collect()]
