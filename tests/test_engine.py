@@ -130,19 +130,19 @@ def test_rounded_as_the_sql_rounds(spark):
     assert np.array_equal(got, want, equal_nan=True) and np.array_equal(K.rounded(np.array(xs), 6), want, equal_nan=True)
 
 
-def test_cohesion_queries_are_their_sql_with_a_run_of_one_shot(spark, tmp_path):
+@pytest.mark.parametrize("name", ["cohesion_split", "scene_assembly"])
+def test_cohesion_queries_are_their_sql_with_a_run_of_one_shot(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     from chronoseg.queries import QUERIES
 
     rng = np.random.default_rng(2)
-    at = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in [*range(14), 15, 17, 20, 121]]
+    at = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in [*range(14), 15, 17, 20, 27, 28, 121]]
     spark.createDataFrame(at, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("cohesion_split",):
-        f, sql = QUERIES[name]
-        want = con.sql(sql)
-        assert rows(f(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall())
+    f, sql = QUERIES[name]
+    want = con.sql(sql)
+    assert rows(f(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall())
 
 
 def test_texts(spark):
