@@ -90,10 +90,11 @@ def contiguous_runs(components_: DataFrame) -> DataFrame:
 def cohesion(runs: DataFrame, vectors: DataFrame, least_mean: float = 0.70, least_p10: float = 0.55, digits: int = 9) -> DataFrame:
     """Mean and 10th percentile of the similarities of all pairs of a run, whether the run holds together (both strictly
     above; one shot always does; null if no pair has a similarity), and the later shot of its weakest pair, the first of
-    equals with a similarity below 1. A group holds the runs that begin within a block of shots of a video."""
+    equals with a similarity below 1. A shot that a run repeats is one shot; if it has several vectors, each counts. A group
+    holds the runs that begin within a block of shots of a video."""
     u = F.when(~F.exists("u", lambda x: x.isNull()), F.col("u")).alias("u")
     known = vectors.select(V, "shot_id", unit("embedding").alias("u")).select(V, "shot_id", u, F.lit(True).alias("known"))
-    rows = runs.select(V, "run", "shot_id").join(known, [V, "shot_id"], "left")
+    rows = runs.select(V, "run", "shot_id").distinct().join(known, [V, "shot_id"], "left")
 
     def judge(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["run", "shot_id"])

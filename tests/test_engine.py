@@ -145,6 +145,29 @@ def test_cohesion_queries_are_their_sql_with_a_run_of_one_shot(spark, tmp_path,
     assert rows(f(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("odd", ["repeated", "far", "vectors"])
+def test_scene_assembly_is_its_sql_on_odd_rows(spark, tmp_path, odd):
+    duckdb = pytest.importorskip("duckdb")
+    from chronoseg.queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    at = [(i, [float(x) for x in rng.normal(size=64).astype(np.float32)], 0) for i in [*range(60), 3, 7, 7, *range(40, 45), 100, 100, None]]
+    if odd == "repeated":
+        at += at[:12]
+    elif odd == "far":
+        at = [(i and (i - 30 if i < 55 else i + 10**17), e, n) for i, e, n in at]
+    else:
+        other = {3: None, 12: [0.0] * 64, 17: [None], 20: [], 21: [], 25: [float("nan")] * 64}
+        at = [(i, other[i] if i in other else [None, *e[1:]] if i in (31, 32) else e[:32] if i in (36, 38) else e, n) for i, e, n in at]
+    spark.createDataFrame(at, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ["scene_assembly"] if odd == "vectors" else ["cohesion_split", "scene_assembly"]:
+        f, sql = QUERIES[name]
+        want = con.sql(sql)
+        assert rows(f(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall())
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("一个。第二.\nrest",), (".only",), ("none",), ("我们 学习 学习 été ETE the",), (None,)], "t string")
     got = [r[0] for r in df.select(scalar.trim_to_sentence("t")).collect()]
