@@ -75,9 +75,20 @@ def _clean() -> None:
                 return
 
 
-def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long texts must fit beside the JVM."""
+def tuned(spark: SparkSession, batch_bytes: int | None = None) -> None:
+    """Small Arrow batches: a batch of long texts must fit beside the JVM. With batch_bytes, a batch ends at so many bytes
+    too (a longer row is one of its own), and what a batch takes no longer grows with the length of its texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if batch_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    else:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of what the driver holds. Made of Arrow columns: rows of Python objects would go through Python workers of
+    another kind, which stay on every executor beside those of the functions."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:

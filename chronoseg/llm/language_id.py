@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, frugal, mix, pieces, text_buffers
+from .common import column_of, frugal, mix, pieces, small_table, text_buffers
 
 BUCKETS = 1 << 14
 #: Labelled documents of each language that training reads, chosen by a hash of the id.
@@ -216,7 +216,8 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     if not languages:
         return Model([], *np.zeros((3, 0), np.int64))
     # a sample of each language: about twice as many by hash range, then the first of them
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * sample / r["count"] + 0.001)) for r in counts], "lang string, share double")
+    share = [min(1.0, 2.0 * sample / r["count"] + 0.001) for r in counts]
+    shares = small_table(docs.sparkSession, lang=pa.array([r["lang"] for r in counts], pa.string()), share=pa.array(share, pa.float64()))
     near = rows.join(F.broadcast(shares), "lang").filter((F.pmod("h", F.lit(1 << 20)) / float(1 << 20)) <= F.col("share"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "id")
     chosen = near.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= sample).select("lang", "text")

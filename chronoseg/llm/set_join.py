@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cells, column_of, drop, frugal, give_back, gram_hashes, pieces, stash, text_buffers, word_hashes, word_spans
+from .common import attach, cells, column_of, drop, frugal, give_back, gram_hashes, pieces, small_table, stash, text_buffers, word_hashes, word_spans
 from .components import components, union_find
 from .shared_keys import lookup, replies_of, shared_keys
 
@@ -361,8 +361,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         both = pairs.join(hot, "b", "left").select("a", "b", salt).join(y, ["b", "salt"]).join(x, "a")
         return both.select("a", "b", "x", "y").mapInArrow(frugal(_verify(t)), "a long, b long")
 
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
+    none = pa.array([], pa.int64())
+    links, labels = small_table(spark, a=none, b=none), small_table(spark, node=none, label=none)
 
     def by_component() -> DataFrame:
         at = index.join(labels.withColumnRenamed("node", "rid"), "rid", "left")

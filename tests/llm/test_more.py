@@ -400,3 +400,25 @@ def test_pipeline(spark):
     assert all(x.round_trip for x in out.collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_starts_no_other_workers_and_bounds_batches_by_bytes(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "en", f"s{i % 2}") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    made, make = [], type(spark).createDataFrame
+    # rows of Python objects would pass through Python workers of their own on every executor
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (made.append(data), make(self, data, *a, **b))[1])
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == corpus_pipeline.drop_near_copies(spark, docs, "").count() == 8
+    assert made and all(isinstance(x, pa.Table) for x in made)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+    long = spark.range(0, 700, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    got = long.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(x.rows for x in got) == 700 and max(x.bytes for x in got) <= corpus_pipeline.BATCH_BYTES + 50_000
